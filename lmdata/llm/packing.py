@@ -7,8 +7,9 @@ their length.  The driver sees the histogram, never documents, and the plan is b
 
 from __future__ import annotations
 
+import functools
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +22,6 @@ from lmdata.llm.common import staged, with_rank
 
 CAPACITY = 2048
 END_ID = 0
-#: Chunks whose ids a worker remembers.
-CACHE_CHUNKS = 200_000
 PIECES = 64
 
 
@@ -33,62 +32,70 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes.
+    """Ids of whole texts as uint32 arrays, as the tokenizer file gives them without special tokens added.
 
-    The pre-tokenizer never joins across a space that a visible character follows, so a text is cut there and the ids
-    of each chunk, which is a word with its punctuation, are remembered.  The library itself encodes every new chunk.
+    A byte-level BPE whose ids follow the order of its merges is run by the faster of the two installed libraries; it is
+    built from the same file.  Any other file is run by the library whose format it has.
     """
 
-    #: A text with none of these is cut by its spaces alone.
-    ODD_SPACE = re.compile(r" (?:\s|\Z)")
-    CUT = re.compile(r"(?s).+?(?= \S|\Z)")
-
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def chunks(self, text: str) -> list[str]:
-        if self.ODD_SPACE.search(text):
-            return self.CUT.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        whole = [any(s in t for s in self.special) for t in texts]
-        cut = [None if w else self.chunks(t) for t, w in zip(texts, whole, strict=True)]
-        new = list({c for cs in cut if cs for c in cs if c not in self.known})
-        self.known.update(zip(new, self.library(new), strict=True))
-        get = self.known.__getitem__
-        return [self.library([t])[0] if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, cut, strict=True)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.fast = self.ranked(spec) if self.is_plain(spec) else None
+        self.library = None
+        if self.fast is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(path)
+
+    @staticmethod
+    def is_plain(spec: dict) -> bool:
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        plain = plain and spec["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        return plain and all(model["vocab"].get("".join(m)) == 256 + i for i, m in enumerate(pairs))
+
+    @staticmethod
+    def ranked(spec: dict):
+        import public_tokenizers
+        import tiktoken
+
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # the bytes that stand for themselves
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per worker process and file."""
+    return Encoder(path)
 
 
 def token_pieces(path: str, capacity: int):
     """Rows (doc_id, text) to rows (doc_id, piece, start, length, ids_crc32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([END_ID], dtype="<u4").tobytes()
+        encode, end = encoder(path).encode, np.array([END_ID], dtype="<u4")
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 500):
-                out: list[tuple] = []
-                for i, data in zip(ids[at : at + 500], encoder.encode([t or "" for t in texts[at : at + 500]]), strict=True):
-                    data += end
-                    n = len(data) // 4
-                    first = n - (n - 1) // capacity * capacity
-                    starts = [0, *range(first, n, capacity)]
-                    for k, (s, e) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
-                        out.append((i, k, s, e - s, zlib.crc32(data[4 * s : 4 * e])))
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            out: list[tuple] = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = np.concatenate([encode(text.as_py() or ""), end])
+                n = len(ids)
+                first = n - (n - 1) // capacity * capacity
+                starts = [0, *range(first, n, capacity)]
+                out += [(i, k, s, e - s, zlib.crc32(ids[s:e])) for k, (s, e) in enumerate(zip(starts, [*starts[1:], n], strict=True))]
+            if out:
+                types = (b.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
