@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_NAMES = {"op2_line_dedup": "line_dedup", "op3_simhash": "simhash", "op4_exact_dedup": "exact_dedup", "op5_toxicity": "toxicity", "op6_media": "media", "op7_mixing": "mixing", "op8_packing": "packing", "op10_secrets": "secrets"}
+_NAMES = {"op1_repeats": "repeats", "op2_line_dedup": "line_dedup", "op3_simhash": "simhash", "op4_exact_dedup": "exact_dedup", "op5_toxicity": "toxicity", "op6_media": "media", "op7_mixing": "mixing", "op8_packing": "packing", "op9_pii": "pii", "op10_secrets": "secrets"}
 _MODULES = {name: importlib.import_module(f"lmdata.llm.{module}") for name, module in _NAMES.items()}
 
 
