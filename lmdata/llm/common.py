@@ -32,6 +32,15 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that their names can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
+
+
+def unboxed(docs: DataFrame) -> list[Column]:
+    return [F.col(f"_own.`{c}`").alias(c) for c in docs.columns]
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of the named keys of two frames."""
     out = F.lit(True)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID
+from lmdata.llm.common import NULL_ID, boxed
 from lmdata.llm.mixing import words
 
 LEAST_WORDS = 50
@@ -61,8 +61,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     doc_id and text are one document and get equal results; a document all of whose lines are repeats keeps an empty
     text; an empty table gives an empty result; other columns pass through, whatever their names.
     """
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
-    keyed = docs.select(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("body"), F.col("text").alias("text"))
+    keyed = docs.select(boxed(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("body"), F.col("text").alias("text"))
     gone = repeated_lines(keyed.select("id", "body", "text"), least_words).select(F.col("id").alias("_id"), F.col("body").alias("_body"), "gone")
     rows = keyed.select("_own", "id", "body").join(gone, (F.col("id") == F.col("_id")) & (F.col("body") == F.col("_body")), "left")
     lines = lines_of(F.col("_own.text"))

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID, staged, with_rank
+from lmdata.llm.common import NULL_ID, boxed, staged, unboxed, with_rank
 from lmdata.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -166,7 +166,10 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, once."""
     found = groups(docs, **options)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns).dropDuplicates(["doc_id"])
+    own = docs.select(boxed(docs))
+    rows = own.join(keep, F.col("_own.doc_id").eqNullSafe(F.col("_id")))
+    first = Window.partitionBy("_id").orderBy(F.col("_own.text").asc_nulls_last())
+    return rows.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*unboxed(docs))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

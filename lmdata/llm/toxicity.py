@@ -298,6 +298,20 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", (~in_training()).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns; all of them without a model."""
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = model.matcher()
+        for b in batches:
+            yield b.filter(pa.array([model.score(features(t or "", matcher)) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return scored(docs, train(docs, labels))
