@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import wave
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,11 @@ SAMPLE_RATE = 8000
 #: Chunk sizes: the hash cuts every ``AVERAGE`` bytes on average, between the other two.
 LEAST, AVERAGE, MOST = 1024, 4096, 65536
 LEVEL = 6
-#: Chunks that more payloads share than this are joined in several parts.
-HOT_REFERENCES, PARTS = 2000, 16
+#: Chunks that more places share than this are joined in several copies.
+HOT_REFERENCES, COPIES = 2000, 16
+#: Parts that payloads are dealt to, for each shuffle partition.
+PARTS_EACH = 4
 GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear%d" % i).digest()[:4] for i in range(256)), dtype="<u4")
-ROWS = 256
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -88,94 +91,101 @@ def feature(samples: bytes) -> str:
     return f"mean={x.mean():.4f};rms={np.sqrt((centred.astype(np.int64) ** 2).mean()):.4f};zc={crossings};entropy={-(p * np.log2(p)).sum():.4f};peaks={peaks}"
 
 
-def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, text) to rows (key, n_bytes, ord, last, digest, chunk).  A task sends a payload once, and a chunk's bytes once."""
-    keys: set[bytes] = set()
-    digests: set[bytes] = set()
-    pack = zstandard.ZstdCompressor(level=LEVEL).compress
-    schema = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("ord", pa.int32()), ("last", pa.int32()), ("digest", pa.binary()), ("chunk", pa.binary())])
-    for b in batches:
-        out: list[tuple] = []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if key in keys:
-                continue
-            keys.add(key)
-            raw = (text.as_py() or "").encode()
-            data, start = payload(raw), 0
-            ends = cuts(data)
-            for k, end in enumerate(ends):
-                part, start = data[start:end], end
-                digest = hashlib.blake2b(part, digest_size=16).digest()
-                out.append((key, len(raw), k, len(ends) - 1, digest, None if digest in digests else pack(part)))
-                digests.add(digest)
-            if len(out) >= ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """Rows (key, n_bytes, ord, last, digest, chunk) of the texts of ``docs``; key is the text's SHA-256."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
-    return rows.mapInArrow(chunk_rows, "key binary, n_bytes long, ord int, last int, digest binary, chunk binary")
+def chunk_rows(parts: int):
+    """Rows (key, text) to rows (p, key, n_bytes, digests, ends, z).  A task sends a payload once."""
+    schema = pa.schema([("p", pa.int32()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("z", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: set[bytes] = set()
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        for b in batches:
+            out: list[tuple] = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if key not in keys:
+                    keys.add(key)
+                    raw = (text.as_py() or "").encode()
+                    data = payload(raw)
+                    ends = cuts(data)
+                    digests = [hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip([0, *ends], ends, strict=False)]
+                    out.append((part_of(key, parts), key, len(raw), digests, ends, pack(data)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(schema.types)], schema=schema)
+
+    return run
 
 
-def store_of(chunks: DataFrame) -> DataFrame:
-    """Each chunk digest once, with its bytes (compressed)."""
-    return chunks.filter(F.col("chunk").isNotNull()).groupBy("digest").agg(F.min("chunk").alias("bytes"))
+def part_of(key: bytes, parts: int) -> int:
+    return int.from_bytes(key[:4], "little") % parts
 
 
-def recipes_of(chunks: DataFrame) -> DataFrame:
-    """The ordered chunk list of each payload, a row per place."""
-    return chunks.select("key", "n_bytes", "ord", "last", "digest").distinct()
+def unique_rows(rows: pa.Table) -> dict[bytes, tuple[int, list[int], bytes]]:
+    """key to (n_bytes, ends, z); several tasks may have sent a payload."""
+    return {k: (n, e, z) for k, n, e, z in zip(*(rows.column(c).to_pylist() for c in ("key", "n_bytes", "ends", "z")), strict=True)}
 
 
-def fetch(recipes: DataFrame, store: DataFrame) -> DataFrame:
-    """Recipes with their chunks' bytes.  What very many payloads share is joined in parts, each with a copy of the chunk."""
-    hot = recipes.groupBy(F.col("digest").alias("d")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_REFERENCES).select("d")
-    part = F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")
-    one = recipes.join(hot, recipes["digest"] == hot["d"], "left_anti")
-    many = recipes.join(hot, recipes["digest"] == hot["d"], "left_semi").withColumn("part", part)
-    copies = store.join(hot, store["digest"] == hot["d"], "left_semi").withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    cold = one.join(store.select(F.col("digest").alias("d"), "bytes"), F.col("digest") == F.col("d")).select(*recipes.columns, "bytes")
-    copies = copies.select(F.col("digest").alias("d"), "of", "bytes")
-    return cold.unionByName(many.join(copies, (F.col("digest") == F.col("d")) & (F.col("part") == F.col("of"))).select(*recipes.columns, "bytes"))
+def part(data: bytes, ends: list[int], place: int) -> bytes:
+    return data[ends[place - 1] if place else 0 : ends[place]]
 
 
-FEATURES = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+def give_chunks(rows, wanted):
+    """A part's payloads and the places that others ask for to (digest, bytes)."""
+    own = unique_rows(rows)
+    digests, chunks = [], []
+    asked = sorted(zip(*(wanted.column(c).to_pylist() for c in ("owner", "place", "digest")), strict=True))
+    for key, some in itertools.groupby(asked, key=lambda x: x[0]):
+        _, ends, z = own[key]
+        data = zstandard.decompress(z)
+        for _, place, digest in some:
+            digests.append(digest)
+            chunks.append(zstandard.compress(part(data, ends, place), 3))
+    return pa.table([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], names=["digest", "bytes"])
 
 
-def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks sorted by payload and place to a row per payload, verified."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    key, parts, out = None, [], []
+FEATURES = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string())])
 
-    def finished() -> tuple:
-        stored = to_wav(b"".join(parts))
+
+def rebuild(rows, fetched):
+    """A part's payloads, each from its own chunks and those that were fetched for it, stored, read back and verified."""
+    foreign: dict[bytes, dict[int, bytes]] = defaultdict(dict)
+    for key, place, z in zip(*(fetched.column(c).to_pylist() for c in ("key", "ord", "bytes")), strict=True):
+        foreign[key][place] = z
+    out = []
+    for key, (n_bytes, ends, z) in unique_rows(rows).items():
+        data, got = zstandard.decompress(z), foreign.get(key, {})
+        stored = to_wav(b"".join(zstandard.decompress(got[k]) if k in got else part(data, ends, k) for k in range(len(ends))))
         samples = from_wav(stored)
-        if hashlib.sha256(samples[:n_bytes]).digest() != key or any(samples[n_bytes:]) or len(parts) != last + 1:
+        if hashlib.sha256(samples[:n_bytes]).digest() != key or any(samples[n_bytes:]):
             raise ValueError(f"payload {key.hex()} was not restored")
-        return (key, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples))
-
-    def sent() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), FEATURES.types, strict=True)], schema=FEATURES)
-
-    for b in batches:
-        for k, n, of, z in zip(b.column("key").to_pylist(), b.column("n_bytes").to_pylist(), b.column("last").to_pylist(), b.column("bytes"), strict=True):
-            if k != key:
-                if key is not None:
-                    out.append(finished())
-                key, n_bytes, last, parts = k, n, of, []
-            parts.append(unpack(z.as_py()))
-        if len(out) >= ROWS:
-            yield sent()
-            out = []
-    if key is not None:
-        out.append(finished())
-    if out:
-        yield sent()
+        out.append((key, n_bytes, len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-BLOCK:]), len(stored), hashlib.sha256(stored).digest(), feature(samples)))
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(FEATURES.types)], schema=FEATURES)
+
+
+def chunked(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows (p, key, n_bytes, digests, ends, z) of the texts of ``docs``: key is the text's SHA-256, z the packed payload."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
+    return rows.mapInArrow(chunk_rows(parts), "p int, key binary, n_bytes long, digests array<binary>, ends array<int>, z binary")
+
+
+def recipes_of(payloads: DataFrame) -> DataFrame:
+    """The ordered chunk list of each payload, a row (p, key, ord, digest) per place."""
+    return payloads.select(F.col("p").alias("p"), F.col("key").alias("key"), F.posexplode("digests").alias("ord", "digest"))  # new columns: they meet the payloads' own in a cogroup
+
+
+def shared_chunks(recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places whose chunk another place holds first, and those first places: (p, key, ord, digest), (p, owner, place, digest)."""
+    owners = recipes.groupBy("digest").agg(F.min(F.struct("key", "ord", "p")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    owners = owners.select(F.col("digest").alias("d"), "first")
+    own = (F.col("key") == F.col("first.key")) & (F.col("ord") == F.col("first.ord"))
+    foreign = recipes.join(owners, F.col("digest") == F.col("d")).filter(~own).select("p", "key", "ord", "digest").distinct()
+    return foreign, owners.select(F.col("first.p").alias("p"), F.col("first.key").alias("owner"), F.col("first.ord").alias("place"), F.col("d").alias("digest"))
+
+
+def fetch(foreign: DataFrame, store: DataFrame) -> DataFrame:
+    """Foreign places with their chunk's bytes.  What very many payloads share is joined in parts, each with a copy of the chunk."""
+    hot = foreign.groupBy(F.col("digest").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_REFERENCES).select("h")
+    copies = store.join(hot, F.col("digest") == F.col("h"), "left").select(F.col("digest").alias("d"), "bytes", F.explode(F.when(F.col("h").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(COPIES - 1)))).alias("copy"))
+    asked = foreign.join(hot, F.col("digest") == F.col("h"), "left").withColumn("turn", F.when(F.col("h").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("key"), F.lit(COPIES)).cast("int")))
+    return asked.join(copies, (F.col("digest") == F.col("d")) & (F.col("turn") == F.col("copy"))).select("p", "key", "ord", "bytes")
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -185,13 +195,16 @@ def media(docs: DataFrame) -> DataFrame:
     stored payload; null ids and repeated rows keep a row each; an empty table gives an empty result; columns other than
     doc_id and text are not read.
     """
-    chunks = chunked(docs)
-    whole = fetch(recipes_of(chunks), store_of(chunks)).select("key", "ord", "n_bytes", "last", "bytes")
-    rows = whole.repartition("key").sortWithinPartitions("key", "ord").select("key", "n_bytes", "last", "bytes")
-    kinds = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    found = rows.mapInArrow(rebuild, kinds)
+    parts = PARTS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    payloads = chunked(docs, parts)
+    foreign, firsts = shared_chunks(recipes_of(payloads))
+    held = payloads.select("p", "key", "n_bytes", "ends", "z")
+    store = held.groupBy("p").cogroup(firsts.groupBy("p")).applyInArrow(give_chunks, "digest binary, bytes binary")
+    kinds = "key binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
+    found = held.groupBy("p").cogroup(fetch(foreign, store).groupBy("p")).applyInArrow(rebuild, kinds)
     keys = docs.select("doc_id", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("_key"))
-    return keys.join(found, keys["_key"] == found["key"]).select("doc_id", *[n for n in FEATURES.names if n != "key"])
+    shown = [F.lower(F.hex(n)).alias(n) if n.endswith("sha256") else F.col(n) for n in FEATURES.names if n != "key"]
+    return keys.join(found, keys["_key"] == found["key"]).select("doc_id", *shown)
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
