@@ -6,15 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(logits, lambda x: x.cast("double") / temperature)
-    top = F.array_max(scaled)
-    norm = top + F.log(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return F.transform(scaled, lambda x: x - norm)
+    topped = let(scaled, lambda a: F.struct(a.alias("a"), F.array_max(a).alias("top")))
+    normed = let(topped, lambda t: F.struct(t["a"].alias("a"), (t["top"] + F.log(F.aggregate(t["a"], F.lit(0.0), lambda s, x: s + F.exp(x - t["top"])))).alias("norm")))
+    return let(normed, lambda n: F.transform(n["a"], lambda x: x - n["norm"]))
 
 
 def restricted_kl(teacher: Column, student: Column, temperature: float = 1.0) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lmdata.functions.arrays import let
+
 ROLES = ("system", "user", "assistant")
 
 
@@ -50,10 +52,6 @@ def render(m: Column) -> Column:
     return F.array_join(F.transform(m, lambda x: turn_text(x["role"], x["content"])), "")
 
 
-def _sizes(m: Column) -> Column:
-    return F.transform(m, lambda x: F.octet_length(turn_text(x["role"], x["content"])))
-
-
 def loss_spans(m: Column, mode: str = "all") -> Column:
     """[(start, end)] in bytes of the rendered text that a loss counts.
 
@@ -61,29 +59,30 @@ def loss_spans(m: Column, mode: str = "all") -> Column:
     everything if there is none.  next: a known defect kept for comparison, from each answer to the next answer's mark, so
     that what the user says between them counts too.
     """
-    size = F.size(m)
-    sizes = _sizes(m)
-    before = F.transform(F.sequence(F.lit(0), size), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x))
-    start = lambda i: F.get(before, i)
-    head = F.octet_length(F.lit("<|im_start|>assistant"))
-    at = F.filter(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(F.get(m, i)["role"] == "assistant", i)), lambda i: i.isNotNull())
+    if mode not in ("all", "last", "next"):
+        raise ValueError("mode: all, last or next")
+    head, tail = F.octet_length(F.lit("<|im_start|>assistant")), F.octet_length(F.lit("<|im_end|>\n"))
     span = lambda lo, hi: F.struct(lo.cast("int").alias("start"), hi.cast("int").alias("end"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    if mode == "all":
-        out = F.transform(at, lambda i: span(start(i) + head, start(i) + F.get(sizes, i) - F.octet_length(F.lit("<|im_end|>\n"))))
-    elif mode == "last":
-        out = F.array(F.when(F.size(at) > 0, span(start(F.element_at(at, -1)) + head + 1, start(size))).otherwise(span(F.lit(0), start(size))))
-    elif mode == "next":
-        out = F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda k: span(start(F.get(at, k)) + head + 1, F.coalesce(start(F.get(at, k + 1)), start(size))))
-        out = F.when(F.size(at) > 0, out).otherwise(none)
-    else:
-        raise ValueError("mode: all, last or next")
-    return F.when(size > 0, out).otherwise(none)
+    add = lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("lo"), (s["at"] + x["n"]).alias("hi"), x["on"].alias("on"))).alias("out"))
+    turns = F.transform(m, lambda x: F.struct(F.octet_length(turn_text(x["role"], x["content"])).alias("n"), (x["role"] == "assistant").alias("on")))
+    placed = F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int,on:boolean>>").alias("out")), add)
+
+    def of(p: Column) -> Column:
+        answers = F.filter(p["out"], lambda t: t["on"])
+        if mode == "all":
+            return F.transform(answers, lambda t: span(t["lo"] + head, t["hi"] - tail))
+        if mode == "last":
+            return F.array(F.when(F.size(answers) > 0, span(F.element_at(answers, -1)["lo"] + head + 1, p["at"])).otherwise(span(F.lit(0), p["at"])))
+        return let(answers, lambda a: F.transform(a, lambda t, k: span(t["lo"] + head + 1, F.coalesce(F.get(a, k + 1)["lo"], p["at"]))))
+
+    return F.when(F.size(m) > 0, let(placed, of)).otherwise(none)
 
 
 def labels(ids: Column, spans: Column) -> Column:
     """Ids where a span covers them, else -100."""
-    return F.transform(ids, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"])), x).otherwise(F.lit(-100)))
+    covers = lambda s, i: (i >= s["start"]) & (i < s["end"])
+    return let(F.struct(ids.alias("ids"), spans.alias("spans")), lambda r: F.transform(r["ids"], lambda x, i: F.when(F.exists(r["spans"], lambda s: covers(s, i)), x).otherwise(F.lit(-100))))
 
 
 def loss_share(df: DataFrame, mode: str = "all") -> DataFrame:

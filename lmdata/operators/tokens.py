@@ -15,9 +15,7 @@ def byte_count(text: Column) -> Column:
 
 def byte_ids(text: Column) -> Column:
     """UTF-8 bytes as numbers; the empty text has none."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def decode_bytes(ids: Column) -> Column:

@@ -33,10 +33,10 @@ FROM events""",
 SELECT item_id AS question_id, text AS question,
        CASE WHEN item_id % 10 = 0 THEN 'AC' ELSE substr('ABCDE', CAST(item_id % 5 AS INT) + 1, 1) END AS answer FROM benchmark""",
     "v_scores": """
-SELECT CASE WHEN d.doc_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS model, d.source AS task,
+SELECT CASE WHEN floor(d.doc_id / 20) % 2 = 0 THEN 'base' ELSE 'tuned' END AS model, d.source AS task,
        CASE WHEN length(d.source) = 4 THEN 'domain' ELSE 'general' END AS task_group, round(avg(CAST(l.quality AS DOUBLE)), 6) AS acc
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id
-GROUP BY CASE WHEN d.doc_id % 2 = 0 THEN 'base' ELSE 'tuned' END, d.source""",
+GROUP BY CASE WHEN floor(d.doc_id / 20) % 2 = 0 THEN 'base' ELSE 'tuned' END, d.source""",
     "v_runlog": """
 SELECT event_type AS run, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INT) AS step,
        CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS margin FROM events""",
