@@ -9,7 +9,8 @@ from lmdata.operators.tokens import byte_ids
 from lmdata.plans.registry import query
 from lmdata.plans.views import table
 
-_M = F.col("messages")
+def _m():
+    return F.col("messages")
 
 
 def _messages(spark, sf_dir):
@@ -28,22 +29,22 @@ FROM conversations GROUP BY conv_id)"""
 
 @query("c7_sft_reason", f"WITH {_AGG} SELECT conv_id, CASE WHEN n < 2 THEN 'too_few_turns' WHEN wrong IS NOT NULL THEN wrong WHEN first_role NOT IN ('system', 'user') THEN 'bad_first_role' END AS reason FROM c")
 def c7(spark, sf_dir):
-    return _messages(spark, sf_dir).select("conv_id", chat.sft_reason(_M).alias("reason"))
+    return _messages(spark, sf_dir).select("conv_id", chat.sft_reason(_m()).alias("reason"))
 
 
 @query("c8_grades", f"WITH {_AGG} SELECT conv_id, CASE WHEN na = 0 THEN 'C' WHEN mean > 200 AND n >= 3 THEN 'A' WHEN mean > 100 THEN 'B' ELSE 'C' END AS grade FROM c")
 def c8(spark, sf_dir):
-    return _messages(spark, sf_dir).select("conv_id", chat.grade(_M).alias("grade"))
+    return _messages(spark, sf_dir).select("conv_id", chat.grade(_m()).alias("grade"))
 
 
 @query("c9_format", f"WITH {_AGG} SELECT conv_id, formed AS ok FROM c")
 def c9(spark, sf_dir):
-    return _messages(spark, sf_dir).select("conv_id", chat.well_formed(_M).alias("ok"))
+    return _messages(spark, sf_dir).select("conv_id", chat.well_formed(_m()).alias("ok"))
 
 
 @query("c10_quality", f"WITH {_AGG} SELECT conv_id FROM c WHERE total >= 20 AND na > 0 AND least >= 10")
 def c10(spark, sf_dir):
-    return _messages(spark, sf_dir).filter(chat.good_enough(_M)).select("conv_id")
+    return _messages(spark, sf_dir).filter(chat.good_enough(_m())).select("conv_id")
 
 
 _TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
@@ -51,7 +52,7 @@ _TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 
 @query("f17_chat_template", f"SELECT conv_id, string_agg({_TURN}, '' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id")
 def f17(spark, sf_dir):
-    return _messages(spark, sf_dir).select("conv_id", chat.render(_M).alias("rendered"))
+    return _messages(spark, sf_dir).select("conv_id", chat.render(_m()).alias("rendered"))
 
 
 _AT = f"""t AS (SELECT conv_id, turn, role, strlen({_TURN}) AS size, coalesce(sum(strlen({_TURN})) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
@@ -60,7 +61,7 @@ _AT = f"""t AS (SELECT conv_id, turn, role, strlen({_TURN}) AS size, coalesce(su
 
 @query("f18_mask_all", f"WITH {_AT} SELECT conv_id, (off + 21)::INT AS start, (off + size - 11)::INT AS \"end\" FROM t WHERE role = 'assistant'")
 def f18(spark, sf_dir):
-    return _messages(spark, sf_dir).select("conv_id", F.explode(chat.loss_spans(_M, "all")).alias("s")).select("conv_id", "s.start", "s.end")
+    return _messages(spark, sf_dir).select("conv_id", F.explode(chat.loss_spans(_m(), "all")).alias("s")).select("conv_id", "s.start", "s.end")
 
 
 @query(
@@ -69,12 +70,12 @@ def f18(spark, sf_dir):
 SELECT conv_id, coalesce(last + 22, 0)::INT AS start, total::INT AS "end" FROM l""",
 )
 def f19(spark, sf_dir):
-    return _messages(spark, sf_dir).select("conv_id", F.explode(chat.loss_spans(_M, "last")).alias("s")).select("conv_id", "s.start", "s.end")
+    return _messages(spark, sf_dir).select("conv_id", F.explode(chat.loss_spans(_m(), "last")).alias("s")).select("conv_id", "s.start", "s.end")
 
 
 @query("f20_mask_next", f"WITH {_AT} SELECT conv_id, (off + 22)::INT AS start, coalesce(lead(off) OVER (PARTITION BY conv_id ORDER BY turn), total)::INT AS \"end\" FROM t WHERE role = 'assistant'")
 def f20(spark, sf_dir):
-    return _messages(spark, sf_dir).select("conv_id", F.explode(chat.loss_spans(_M, "next")).alias("s")).select("conv_id", "s.start", "s.end")
+    return _messages(spark, sf_dir).select("conv_id", F.explode(chat.loss_spans(_m(), "next")).alias("s")).select("conv_id", "s.start", "s.end")
 
 
 @query(
@@ -88,5 +89,5 @@ def g24(spark, sf_dir):
 
 @query("f18_labels")
 def f18_labels(spark, sf_dir):
-    ids = byte_ids(chat.render(_M))
-    return _messages(spark, sf_dir).withColumn("spans", chat.loss_spans(_M, "all")).select("conv_id", F.size(F.filter(chat.labels(ids, F.col("spans")), lambda x: x != -100)).alias("counted"))
+    ids = byte_ids(chat.render(_m()))
+    return _messages(spark, sf_dir).withColumn("spans", chat.loss_spans(_m(), "all")).select("conv_id", F.size(F.filter(chat.labels(ids, F.col("spans")), lambda x: x != -100)).alias("counted"))

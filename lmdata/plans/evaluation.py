@@ -26,7 +26,7 @@ def c19(spark, sf_dir):
     return _v(spark, sf_dir, "v_samples").select("question_id", "sample_idx", evals.accuracy_reward(F.col("text"), F.col("gold")).alias("reward"))
 
 
-@query("c18_format_reward", with_views(f"SELECT question_id, sample_idx, CASE WHEN length(text) > 20 AND length(text) < 500 THEN 0.5 ELSE 0.0 END + CASE WHEN {_F1} IS NOT NULL THEN 0.5 ELSE 0.0 END AS reward FROM v_samples", "v_samples"))
+@query("c18_format_reward", with_views(f"SELECT question_id, sample_idx, (CASE WHEN length(text) > 20 AND length(text) < 500 THEN 0.5 ELSE 0.0 END + CASE WHEN {_F1} IS NOT NULL THEN 0.5 ELSE 0.0 END)::DOUBLE AS reward FROM v_samples", "v_samples"))
 def c18(spark, sf_dir):
     return _v(spark, sf_dir, "v_samples").select("question_id", "sample_idx", evals.format_reward(F.col("text")).alias("reward"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lmdata.functions.text import strip
 
@@ -27,7 +26,7 @@ def text_lines(spark: SparkSession, folder: str, longer_than: int = 0) -> DataFr
     """
     if not exists(spark, folder):
         return spark.createDataFrame([], "path string, pos int, text string")
-    files = spark.read.option("pathGlobFilter", "*.txt").option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).select("path", "pos", strip(F.col("line")).alias("text"))
     return lines.filter(F.length("text") > longer_than)
 
@@ -43,7 +42,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """(pos, value): the records of a JSON array or of JSON lines, as text; what doesn't parse is skipped."""
-    files = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
+    files = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     array = files.filter(F.col("v").startswith("[")).select(F.posexplode(F.from_json("v", "array<variant>")).alias("pos", "x")).select("pos", F.to_json("x").alias("value"))
     lines = files.filter(~F.col("v").startswith("[")).select(F.posexplode(F.split("v", "\r?\n")).alias("pos", "value"))
     return array.unionByName(lines.filter(F.trim("value") != "").filter(F.try_parse_json("value").isNotNull()))
@@ -87,22 +86,22 @@ def corpus(spark: SparkSession, source: str, folder: str = "", rows: int = 200)
     raise ValueError(f"no such source: {source}")
 
 
-def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a declared schema; a malformed line is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def tolerant_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a declared schema, with the lines that don't parse in _corrupt_record."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
-def optional_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One document, or no row if there is no such file."""
     return spark.read.schema(schema).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def training_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def training_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log with a header; blank cells are null."""
     return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
 
@@ -119,7 +118,7 @@ def latest_scores(spark: SparkSession, folder: str) -> DataFrame:
     """(task, acc) of the newest scores file; an error if there is none."""
     if not exists(spark, f"{folder}/scores_*.json"):
         raise FileNotFoundError(f"no scores in {folder}")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "scores_*.json").text(folder)
+    files = spark.read.option("pathGlobFilter", "scores_*.json").text(folder, wholetext=True)
     newest = files.select("value", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("p")).agg(F.max_by("value", F.struct("t", "p")).alias("v"))
     return newest.select(F.explode(F.from_json("v", "map<string,double>")).alias("task", "acc"))
 

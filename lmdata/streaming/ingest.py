@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lmdata.operators.sweeps import loss_lines
 
 
-def records(spark: SparkSession, folder: str, schema: T.StructType, files_each: int = 100) -> DataFrame:
+def records(spark: SparkSession, folder: str, schema: str, files_each: int = 100) -> DataFrame:
     """JSON lines as files arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).json(folder)
 
