@@ -38,9 +38,9 @@ LEAST = 50
 ANCHOR = 24
 #: An anchor in more texts than this sends single windows.
 HOT = 2000
-#: Parts that texts and anchors are dealt to, for each shuffle partition.
-PARTS_EACH = 4
-BATCH_BYTES = 8 << 20
+#: Texts have a part for each shuffle partition, and as many groups of this many shards judge their anchors and contexts.
+SHARDS_EACH = 4
+BATCH_BYTES = 2 << 20
 BASE, MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0x94D049BB133111EB
 U64 = np.uint64
 
@@ -230,22 +230,24 @@ def _batches(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int
 
 
 def send_anchors(parts: int, least: int):
-    """Rows (cls, id, text) to messages: to each shard the anchors that it has to count, with their texts' classes."""
+    """Rows (cls, text) to messages: to each group the anchors that its shards have to count, with their texts' classes."""
+    shards = SHARDS_EACH * parts
 
     def flush(classes: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
         text, h = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((text, h, h % U64(parts)))
+        order = np.lexsort((text, h, h % U64(shards)))
         text, h = text[order], h[order]
         fresh = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]
         text, h = text[fresh], h[fresh]
-        shard = (h % U64(parts)).astype(np.int64)
+        shard = (h % U64(shards)).astype(np.int64)
         ends = np.flatnonzero(np.r_[shard[1:] != shard[:-1], True]) + 1
-        known, rows, start = np.array(classes, dtype=np.int64), [], 0
+        known, rows, start = np.array(classes, dtype=np.int64), defaultdict(list), 0
         for end in ends.tolist():
             used, local = np.unique(text[start:end], return_inverse=True)
-            rows.append((int(shard[start]), _pack(known[used], local.astype(np.uint16 if len(used) < 65536 else np.uint32), _pack_sorted(h[start:end]))))
+            s = int(shard[start])
+            rows[s % parts].append((s, known[used], local.astype(np.uint16 if len(used) < 65536 else np.uint32), _pack_sorted(h[start:end])))
             start = end
-        return _sent(rows)
+        return _sent([(g, _pack(*found)) for g, found in rows.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -272,15 +274,11 @@ def send_anchors(parts: int, least: int):
 
 
 def count_anchors(parts: int):
-    """One shard's messages to messages: to each part the anchors of its texts that several texts hold, and which of them are hot."""
+    """One group's messages to messages: to each part the anchors of its texts that several texts hold, and which of them are hot."""
 
-    def run(table):
-        hs, cs = [], []
-        for z in table.column("z").to_pylist():
-            known, local, planes = _unpack(z)
-            hs.append(_unpack_sorted(planes))
-            cs.append(known[local])
-        h, c = np.concatenate(hs), np.concatenate(cs)
+    def repeated(messages: list[tuple]) -> Iterator[tuple[int, tuple]]:
+        h = np.concatenate([_unpack_sorted(planes) for _, _, planes in messages])
+        c = np.concatenate([known[local] for known, local, _ in messages])
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
         fresh = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
@@ -292,12 +290,20 @@ def count_anchors(parts: int):
         part = c % parts
         order = np.lexsort((h, part))
         part, h, hot = part[order], h[order], hot[order]
-        rows = []
         for p in np.unique(part).tolist():
             lo, hi = np.searchsorted(part, [p, p + 1])
             u, at = np.unique(h[lo:hi], return_index=True)
-            rows.append((p, _pack(_pack_sorted(u), np.packbits(hot[lo:hi][at]))))
-        return _sent(rows)
+            yield p, (_pack_sorted(u), np.packbits(hot[lo:hi][at]))
+
+    def run(table):
+        shards, rows = defaultdict(list), defaultdict(list)
+        for z in table.column("z").to_pylist():
+            for s, *message in _unpack(z):
+                shards[s].append(message)
+        for s in sorted(shards):
+            for p, found in repeated(shards.pop(s)):
+                rows[p].append(found)
+        return _sent([(p, _pack(*found)) for p, found in rows.items()])
 
     return run
 
@@ -338,8 +344,8 @@ class Part:
         self.classes = sorted(packed)
         self.ids = [ids[c] for c in self.classes]
         self.packed = [packed[c] for c in self.classes]
-        self.parts, self.least = parts, least
-        told = [_unpack(z) for z in news.column("z").to_pylist()]
+        self.shards, self.least = SHARDS_EACH * parts, least
+        told = [found for z in news.column("z").to_pylist() for found in _unpack(z)]
         hs = [_unpack_sorted(planes) for planes, _ in told]
         h = np.concatenate(hs) if hs else np.empty(0, dtype=U64)
         hot = np.concatenate([np.unpackbits(bits)[: len(x)] for x, (_, bits) in zip(hs, told, strict=True)]) if hs else np.empty(0, dtype=np.uint8)
@@ -369,18 +375,18 @@ class Part:
         begins = np.cumsum(sizes) - sizes
         lo = np.maximum(at - (self.least - ANCHOR), begins[text])
         hi = np.minimum(at + self.least, begins[text] + sizes[text])
-        shard = (h % U64(self.parts)).astype(np.int64)
+        shard = (h % U64(self.shards)).astype(np.int64)
         if hot.any():  # single windows, each once, by their own hash
             n = (hi - lo - self.least + 1)[hot]
             ws = np.unique(np.repeat(lo[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             own = np.searchsorted(begins, ws, "right") - 1
-            by = (rolling(data, self.least)[ws] % U64(self.parts)).astype(np.int64)
+            by = (rolling(data, self.least)[ws] % U64(self.shards)).astype(np.int64)
             text, lo, hi, shard = np.r_[text[~hot], own], np.r_[lo[~hot], ws], np.r_[hi[~hot], ws + self.least], np.r_[shard[~hot], by]
         return whole, text, lo, hi, shard
 
 
 def send_contexts(parts: int, least: int):
-    """A part's texts and the repeated anchors to messages: to each shard the part's different contexts, sorted, with their smallest ids."""
+    """A part's texts and the repeated anchors to messages: to each group, by shard, the part's different contexts, sorted, with their smallest ids."""
 
     def run(key, rows, news):
         part = Part(rows, news, parts, least)
@@ -390,8 +396,11 @@ def send_contexts(parts: int, least: int):
                 c, i, own = whole[a:b], part.ids[start + t], found[s]
                 if own.get(c, i) >= i:
                     own[c] = i
+        out = defaultdict(list)
+        for s in sorted(found):
+            out[s % parts].append((s, *_listed(found.pop(s))))
         me = key[0].as_py()
-        return _sent([(s, _pack(me, *_listed(own))) for s, own in found.items()])
+        return _sent([(g, _pack(me, *lists)) for g, lists in out.items()])
 
     return run
 
@@ -402,23 +411,29 @@ def _listed(own: dict[bytes, int]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def judge_contexts(least: int):
-    """One shard's contexts to messages: to each part, in the order it sent them, the smallest id and the earlier windows of each."""
+    """One group's contexts to messages: to each part, by shard and in the order it sent them, the smallest id and the earlier windows of each."""
 
-    def run(key, table):
-        ids: dict[bytes, int] = {}
-        lists = []
+    def run(table):
+        shards, out = defaultdict(list), defaultdict(list)
         for z in table.column("z").to_pylist():
-            sender, whole, sizes, own = _unpack(z)
-            ends = np.cumsum(sizes, dtype=np.int64).tolist()
-            names = [whole[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
-            lists.append((sender, names))
-            for c, i in zip(names, own.tolist(), strict=True):
-                if ids.get(c, i) >= i:
-                    ids[c] = i
-        contexts = sorted(ids)
-        masks = dict(zip(contexts, earlier_windows(contexts, np.array([ids[c] for c in contexts], dtype=np.int64), least), strict=True))
-        me = key[0].as_py()
-        return _sent([(p, _pack(me, np.array([ids[c] for c in names], dtype=np.int64), np.array([masks[c] for c in names], dtype=U64))) for p, names in lists])
+            sender, *lists = _unpack(z)
+            for s, *found in lists:
+                shards[s].append((sender, *found))
+        for s in sorted(shards):
+            ids: dict[bytes, int] = {}
+            lists = []
+            for sender, whole, sizes, own in shards.pop(s):
+                ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                names = [whole[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+                lists.append((sender, names))
+                for c, i in zip(names, own.tolist(), strict=True):
+                    if ids.get(c, i) >= i:
+                        ids[c] = i
+            contexts = sorted(ids)
+            masks = dict(zip(contexts, earlier_windows(contexts, np.array([ids[c] for c in contexts], dtype=np.int64), least), strict=True))
+            for p, names in lists:
+                out[p].append((s, np.array([ids[c] for c in names], dtype=np.int64), np.array([masks[c] for c in names], dtype=U64)))
+        return _sent([(p, _pack(*found)) for p, found in out.items()])
 
     return run
 
@@ -429,39 +444,39 @@ def cut_texts(parts: int, least: int):
     def run(rows, told):
         first = told.column("kind").to_numpy(zero_copy_only=False) == 0
         part = Part(rows, told.filter(pa.array(first)), parts, least)
-        answers = {}
-        for z in told.filter(pa.array(~first)).column("z").to_pylist():
-            shard, ids, masks = _unpack(z)
-            answers[shard] = ids, masks
-        names: dict[int, set[bytes]] = defaultdict(set)
-        for _, _, whole, _, lo, hi, shard in part.batches():
-            for a, b, s in zip(lo.tolist(), hi.tolist(), shard.tolist(), strict=True):
-                names[s].add(whole[a:b])
-        place = {s: {c: k for k, c in enumerate(sorted(cs))} for s, cs in names.items()}
-        del names
-        out = []
+        numbers: dict[int, dict[bytes, int]] = defaultdict(dict)
+        batches = []
         for start, texts, whole, text, lo, hi, shard in part.batches():
-            cover = np.zeros(len(whole) + 1, dtype=np.int32)
-            begin, end, masked = [], [], []
-            for t, a, b, s in zip(text.tolist(), lo.tolist(), hi.tolist(), shard.tolist(), strict=True):
-                ids, masks = answers[s]
-                k = place[s][whole[a:b]]
-                if ids[k] < part.ids[start + t]:
-                    begin.append(a)
-                    end.append(b)
-                elif mask := int(masks[k]):
-                    masked.append((a, mask))
-            for a, mask in masked:  # runs of windows
-                while mask:
-                    skip = (mask & -mask).bit_length() - 1
-                    mask >>= skip
-                    run_ = (~mask & (mask + 1)).bit_length() - 1
-                    a += skip
-                    begin.append(a)
-                    end.append(a + run_ - 1 + least)
-                    a, mask = a + run_, mask >> run_
-            np.add.at(cover, np.array(begin, dtype=np.int64), 1)
-            np.add.at(cover, np.array(end, dtype=np.int64), -1)
+            mine = np.empty(len(text), dtype=np.int64)
+            for j, (a, b, s) in enumerate(zip(lo.tolist(), hi.tolist(), shard.tolist(), strict=True)):
+                own = numbers[s]
+                mine[j] = own.setdefault(whole[a:b], len(own))
+            batches.append((start, texts, whole, text, lo, hi, shard, mine))
+        offset, ids, masks, n = np.zeros(part.shards, dtype=np.int64), [], [], 0
+        for shard, least_ids, earlier in (found for z in told.filter(pa.array(~first)).column("z").to_pylist() for found in _unpack(z)):
+            own, offset[shard] = numbers.pop(shard), n
+            place = np.empty(len(own), dtype=np.int64)
+            place[[own[c] for c in sorted(own)]] = np.arange(len(own))  # the answer's order is that of the sorted contexts
+            ids.append(least_ids[place])
+            masks.append(earlier[place])
+            n += len(own)
+        if numbers:
+            raise ValueError("a shard did not answer")
+        ids = np.concatenate(ids) if ids else np.empty(0, dtype=np.int64)
+        masks = np.concatenate(masks) if masks else np.empty(0, dtype=U64)
+        known = np.array(part.ids, dtype=np.int64)
+        out = []
+        for start, texts, whole, text, lo, hi, shard, mine in batches:
+            at = offset[shard] + mine
+            later = ids[at] < known[start + text]
+            begin, end = [lo[later]], [hi[later]]
+            some = np.flatnonzero(~later & (masks[at] != 0))
+            lo, masked = lo[some], masks[at[some]]
+            for w in range(least - ANCHOR + 1):
+                hit = lo[(masked >> U64(w)) & U64(1) == 1] + w
+                begin.append(hit)
+                end.append(hit + least)
+            cover = np.bincount(np.concatenate(begin), minlength=len(whole) + 1) - np.bincount(np.concatenate(end), minlength=len(whole) + 1)
             gone = np.cumsum(cover[:-1]) > 0
             data, at = np.frombuffer(whole, dtype=np.uint8), 0
             for k, t in enumerate(texts):
@@ -487,7 +502,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     if not ANCHOR < least <= 80:
         raise ValueError("least: 25 to 80 bytes")
     spark = docs.sparkSession
-    parts = PARTS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(text, 256)).alias("cls"), text.alias("text"))
     counted = rows.select("cls", "text").mapInArrow(send_anchors(parts, least), MESSAGE).groupBy("p").applyInArrow(count_anchors(parts), MESSAGE)
