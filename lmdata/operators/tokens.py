@@ -27,7 +27,7 @@ def decode_bytes(ids: Column) -> Column:
 def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     """(char, id): the different characters by code point, numbered from 0."""
     chars = df.select(F.explode(F.split(F.col(text), "")).alias("char")).filter("char != ''").distinct()
-    return chars.select("char", (F.row_number().over(Window.orderBy("char")) - 1).alias("id"))
+    return chars.select("char", (F.row_number().over(Window.orderBy("char")) - 1).cast("long").alias("id"))
 
 
 def take_by_ratio(n_domain: Column, n_general: Column, ratio: str) -> tuple[Column, Column]:

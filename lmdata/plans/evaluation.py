@@ -123,7 +123,7 @@ def a10(spark, sf_dir):
     return sweeps.last_values(_v(spark, sf_dir, "v_runlog"), "margin")
 
 
-@query("h18_quarter_means", with_views("SELECT run, quarter, round(avg(margin), 3) AS mean FROM (SELECT *, ntile(4) OVER (PARTITION BY run ORDER BY step) AS quarter FROM v_runlog WHERE margin IS NOT NULL) x GROUP BY 1, 2", "v_runlog"))
+@query("h18_quarter_means", with_views("SELECT run, quarter::INT AS quarter, round(avg(margin), 3) AS mean FROM (SELECT *, ntile(4) OVER (PARTITION BY run ORDER BY step) AS quarter FROM v_runlog WHERE margin IS NOT NULL) x GROUP BY 1, 2", "v_runlog"))
 def h18(spark, sf_dir):
     return sweeps.quarters(_v(spark, sf_dir, "v_runlog"), "margin")
 
