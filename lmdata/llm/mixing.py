@@ -10,15 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import WORD, with_rank
+from lmdata.llm.common import WORD, boxed, unboxed, with_rank
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
-#: Sizes up to this are a class each; larger ones share a class with those in the same step.
-EXACT_SIZES, SIZE_STEP = 1024, 32
-#: A size class of a source is sorted in this many pieces, so that no piece holds a whole hot source.
-PIECES = 64
+#: Documents of a source are counted by size class, this many words wide, and by piece of a class, so that no sort holds a whole hot source.
+SIZE_STEP, PIECES = 16, 8
 
 
 def words(text: Column) -> Column:
@@ -52,9 +50,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float
     gives an empty result; columns other than doc_id, text and source are not read.
     """
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    wide = F.lit(EXACT_SIZES) + F.floor((F.col("size") - EXACT_SIZES) / F.lit(SIZE_STEP))
-    klass = F.when(F.col("size") <= EXACT_SIZES, F.col("size")).otherwise(wide).cast("long")
-    sized = sized.withColumn("_place", klass * PIECES + F.coalesce(F.pmod(F.col("doc_id"), F.lit(PIECES)), F.lit(0)))
+    sized = sized.withColumn("_place", F.floor(F.col("size") / SIZE_STEP) * PIECES + F.coalesce(F.pmod(F.col("doc_id"), F.lit(PIECES)), F.lit(0)))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, max_repeats)
     ranked = with_rank(sized, ["source"], "_place", [F.col("size"), F.col("doc_id").asc_nulls_last()], "_rank", carry=goals)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -66,14 +62,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it.  Rows of one doc_id share their copies in turn."""
-    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_id").withColumnRenamed("source", "_source").withColumnRenamed("size", "_size")
-    rows = docs.withColumn("_words", words(F.col("text")))
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "rows")
+    own = docs.select(boxed(docs), words(F.col("text")).alias("_words"))
+    due = own["_own.doc_id"].eqNullSafe(taken["_id"]) & own["_own.source"].eqNullSafe(taken["_source"]) & (own["_words"] == taken["_size"])
     one = F.lit(1).cast("long")
-    joined = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["_words"] == taken["_size"]))
-    turn = F.when(F.col("_rows") == 1, one).otherwise(F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text")))
-    joined = joined.withColumn("_turn", turn).withColumn("_times", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_turn") <= F.col("_copies") % F.col("_rows")).cast("long"))
-    times = joined.filter(F.col("_times") > 0)
-    return times.withColumn("_copy", F.explode(F.sequence(one, F.col("_times")))).select(*docs.columns)
+    turn = F.when(F.col("rows") == 1, one).otherwise(F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_own.text")))
+    joined = own.join(taken, due).withColumn("_turn", turn)
+    times = F.floor(F.col("copies") / F.col("rows")) + (F.col("_turn") <= F.col("copies") % F.col("rows")).cast("long")
+    return joined.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(one, F.col("_times")))).select(*unboxed(docs))
 
 
 SQL = r"""
@@ -91,7 +88,7 @@ levels AS (
 goals AS (
   SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, place) FROM levels WHERE level <= full_at) * weight, cap)) AS target FROM levels),
 placed AS (
-  SELECT *, (CASE WHEN size <= 1024 THEN size ELSE 1024 + (size - 1024) // 32 END) * 64 + coalesce(doc_id % 64, 0) AS place FROM sized),
+  SELECT *, (size // 16) * 8 + coalesce(doc_id % 8, 0) AS place FROM sized),
 ranked AS (
   SELECT p.doc_id, p.source, p.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS due,
