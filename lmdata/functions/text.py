@@ -41,8 +41,9 @@ EVOLVE = {
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """Without white space at either end, Unicode's included.  Only a text that has some there is searched."""
+    ends = F.regexp_like(F.substring(c, 1, 1), F.lit(WS)) | F.regexp_like(F.substring(c, -1, 1), F.lit(WS))
+    return F.when(ends, F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")).otherwise(c)
 
 
 def collapse(c: Column) -> Column:

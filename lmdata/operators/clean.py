@@ -28,7 +28,8 @@ def domain(name: str) -> Domain:
 
 
 def without_markup(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "\n{3,}", "\n\n"))
+    plain = F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, "<[^>]+>", "")).otherwise(c)
+    return strip(F.when(F.contains(plain, F.lit("\n\n\n")), F.regexp_replace(plain, "\n{3,}", "\n\n")).otherwise(plain))
 
 
 def remove_boilerplate(df: DataFrame, text: str = "text") -> DataFrame:

@@ -50,12 +50,14 @@ def tokens(text: Column) -> Column:
 def jaccard_edges(df: DataFrame, threshold: float, text: str = "text", order: str = "seq") -> DataFrame:
     """Pairs (a, b, jaccard), a before b, with at least ``threshold`` of their token sets in common.
 
-    Prefix filter: sets that are so alike share one of their rarest tokens, so only those are joined.
+    Prefix filter: sets that are so alike share one of their rarest tokens, so only those are joined.  Tokens are
+    compared by their 64-bit hashes; sets and their order are written once and read by each of the joins.
     """
-    sets = df.select(F.col(order).alias("doc"), F.explode(tokens(F.col(text))).alias("token"))
+    sets = df.select(F.col(order).alias("doc"), F.explode(F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t))).alias("token"))
+    sets = staged(sets, "tokens")
     ranks = sets.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = sets.join(ranks, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ts"))
-    ranked = ranked.select("doc", F.transform("ts", lambda x: x["token"]).alias("ts")).withColumn("size", F.size("ts"))
+    ranked = staged(ranked.select("doc", F.transform("ts", lambda x: x["token"]).alias("ts")).withColumn("size", F.size("ts")), "sets")
     prefix = ranked.select("doc", "size", F.explode(F.slice("ts", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold) + 1)).alias("token"))
     l, r = prefix.select(F.col("doc").alias("a"), F.col("size").alias("na"), "token"), prefix.select(F.col("doc").alias("b"), F.col("size").alias("nb"), "token")
     alike = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
@@ -68,16 +70,12 @@ def jaccard_edges(df: DataFrame, threshold: float, text: str = "text", order: st
 
 def band_buckets(df: DataFrame, threshold: float, text: str = "text", order: str = "seq") -> DataFrame:
     """Rows (doc, band, value): documents that share a band's value count as near copies; they are not verified."""
-    bands, rows = BANDS.get(threshold, BANDS[0.8])
+    bands, rows_each = BANDS.get(threshold, BANDS[0.8])
     hashed = F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t))
-    signature = [_least(i) for i in range(bands * rows)]
-    docs = df.select(F.col(order).alias("doc"), hashed.alias("hs"))
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*signature[b * rows : (b + 1) * rows]).alias("value")) for b in range(bands)])
-    return docs.select("doc", F.explode(keys).alias("bucket")).select("doc", "bucket.band", "bucket.value")
-
-
-def _least(i: int) -> Column:
-    return F.array_min(F.transform(F.col("hs"), lambda h: F.xxhash64(h, F.lit(i))))
+    rows = df.select(F.col(order).alias("doc"), F.explode_outer(hashed).alias("h"))  # a text without tokens has a row too
+    signed = rows.groupBy("doc").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"s{i}") for i in range(bands * rows_each)])
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"s{i}") for i in range(b * rows_each, (b + 1) * rows_each)]).alias("value")) for b in range(bands)])
+    return signed.select("doc", F.explode(keys).alias("bucket")).select("doc", "bucket.band", "bucket.value")
 
 
 def greedy(nodes: DataFrame, edges: DataFrame, order: str = "seq") -> DataFrame:
