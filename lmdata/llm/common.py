@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, after its Python workers can import this package even where it is not installed: sent once, as a zip file."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if not getattr(context, "_lmdata_shipped", False) and root.is_dir():
+        target = Path(tempfile.mkdtemp(prefix="lmdata-")) / "lmdata.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        context.addPyFile(str(target))
+        context._lmdata_shipped = True
+    return spark
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

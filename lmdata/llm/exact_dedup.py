@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID
+from lmdata.llm.common import NULL_ID, documents
 
 MEMTABLE_BYTES = 8 << 20
 FAN_IN = 4
@@ -180,4 +180,4 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(documents(spark, sf_dir))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID, boxed
+from lmdata.llm.common import NULL_ID, boxed, documents
 from lmdata.llm.mixing import words
 
 LEAST_WORDS = 50
@@ -100,5 +100,5 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))

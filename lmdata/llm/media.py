@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lmdata.llm.common import documents
+
 BLOCK = 64
 SAMPLE_RATE = 8000
 #: Chunk sizes: the hash cuts every ``AVERAGE`` bytes on average, between the other two.
@@ -208,4 +210,4 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
-    return media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return media(documents(spark, sf_dir))

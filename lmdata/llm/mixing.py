@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import WORD, boxed, unboxed, with_rank
+from lmdata.llm.common import WORD, boxed, documents, unboxed, with_rank
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -102,4 +102,4 @@ FROM ranked
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

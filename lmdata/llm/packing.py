@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import staged, with_rank
+from lmdata.llm.common import documents, staged, with_rank
 
 CAPACITY = 2048
 END_ID = 0
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(documents(spark, sf_dir))

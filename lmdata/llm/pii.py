@@ -16,7 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import staged
+from lmdata.llm.common import documents, staged
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "gazetteer", "before", "edges")
@@ -236,4 +236,4 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    return find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_personal_data(documents(spark, sf_dir))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID
+from lmdata.llm.common import NULL_ID, documents
 
 LEAST = 50
 ANCHOR = 24
@@ -523,4 +523,4 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(documents(spark, sf_dir))

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from lmdata.llm.common import documents
+
 # The patterns that the contract names.
 ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -107,4 +109,4 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_secrets(documents(spark, sf_dir))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID, boxed, staged, unboxed, with_rank
+from lmdata.llm.common import NULL_ID, boxed, documents, staged, unboxed, with_rank
 from lmdata.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -173,4 +173,4 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups(documents(spark, sf_dir))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lmdata.llm.common import documents
+
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of the id.
 MAX_TRAIN = 12_000
 FOLDS, HELD_OUT = 5, 0
@@ -313,5 +315,5 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return scored(docs, train(docs, labels))
