@@ -89,3 +89,38 @@ def loss_lines(lines: DataFrame) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(k.lower()).alias("kind"), F.nullif(value(k), F.lit("")).alias("v")) for k in ("Train", "Val")])
     rows = lines.select(F.nullif(at, F.lit("")).cast("int").alias("iter"), F.explode(kinds).alias("k"))
     return rows.filter("iter IS NOT NULL AND k.v IS NOT NULL").select("iter", "k.kind", F.col("k.v").try_cast("double").alias("loss"))
+
+
+def arm_tags(configs: DataFrame) -> DataFrame:
+    """(run, method, alpha, temperature, data) to how a run was distilled; what only the other method has is null."""
+    kd = F.coalesce(F.col("method").startswith("logit_distillation"), F.lit(False))
+    return configs.select("run", F.when(kd, "logit_KD").otherwise("onpolicy_SFT").alias("kd_method"), F.when(kd, F.col("alpha")).alias("alpha"), F.when(kd, F.col("temperature")).alias("temperature"), F.when(~kd, F.element_at(F.split(F.coalesce("data", F.lit("")), "/"), -1)).alias("data_source"))
+
+
+def arm_table(arms: DataFrame, base: dict[str, float]) -> DataFrame:
+    """(run, holdout, d_medical, d_general) with the holdout's delta and the scores that the deltas lead to; null stays null."""
+    return arms.select(
+        "run", "holdout", F.round(F.col("holdout") - base["holdout"], 4).alias("holdout_delta"), F.round(F.col("d_medical") + base["medical"], 4).alias("medical"), "d_medical",
+        F.round(F.col("d_general") + base["general"], 4).alias("general"), "d_general",
+    )
+
+
+def overlay(defaults: DataFrame, measured: DataFrame, key: str = "run") -> DataFrame:
+    """Defaults, with measured values over them where there are any."""
+    values = [c for c in defaults.columns if c != key]
+    m = measured.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_m_{c}") for c in values])
+    return defaults.join(m, F.col(key) == F.col("_k"), "left").select(key, *[F.coalesce(f"_m_{c}", c).alias(c) for c in values])
+
+
+def teacher_accuracy(answers: DataFrame) -> DataFrame:
+    """One row: n, acc, compliant, the last two null without answers."""
+    hit = F.coalesce("letter_matches_gold", F.lit(False)).cast("double")
+    letter = (F.coalesce("teacher_letter", F.lit("")) != "").cast("double")
+    return answers.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 4).alias("acc"), F.round(F.avg(letter), 4).alias("compliant"))
+
+
+def in_sweep_order(runs: DataFrame, order: list[str]) -> DataFrame:
+    """Adds place: sweeps in the given order, runs by name within; unknown sweeps come last."""
+    at = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in order]), F.col("sweep")), F.lit(0))
+    rank = F.when(at == 0, len(order) + 1).otherwise(at)
+    return runs.withColumn("place", F.row_number().over(Window.orderBy(rank, "sweep", "run")))  # a row per run

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
-_MODULES = ("cleaning", "preference", "chat", "selection", "streams", "evaluation", "numeric", "files")
+_MODULES = ("cleaning", "preference", "chat", "selection", "streams", "evaluation", "numeric", "files", "reports")
 
 
 def query(name: str, sql: str | None = None):
