@@ -217,16 +217,15 @@ def cover(docs: list[list[str]], clean: dict[str, float], times: int = 3, least:
     return out
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> list[float]:
-    """Logistic regression by Newton steps; classes weigh alike."""
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.002, rounds: int = 40) -> list[float]:
+    """Logistic regression by Newton steps.  Documents weigh alike, so that a score is a share of toxic documents."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (share * (p - y)) / len(y) + penalty @ w
-        h = (x * (share * p * (1 - p))[:, None]).T @ x / len(y) + penalty
+        g = x.T @ (p - y) / len(y) + penalty @ w
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + penalty
         w -= np.linalg.solve(h, g)
     return w.tolist()
 
