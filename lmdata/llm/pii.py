@@ -33,7 +33,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a base or a looser pattern to match.
-NEEDS = {"email": r"@|[\[({]at[\])}]|\sat\s\S+\sdot\s", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){14}", "phone": r"\+[0-9]|[0-9][).\x20-]{1,2}[0-9]{3}[.\x20-][0-9]{4}"}
+NEEDS = {"email": r"(?i)@|[\[({]at[\])}]|\sat\s\S+\sdot\s", "ip": r"[0-9]\.[0-9]+\.[0-9]|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){14}", "phone": r"\+[0-9]|[0-9][).\x20-]{1,2}[0-9]{3}[.\x20-][0-9]{4}"}
 LOOSE = {
     "email": r"(?i)\b[A-Za-z0-9._%+-]{1,64}\s?[\[({]at[\])}]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[({]dot[\])}]|\sdot\s|\.)\s?[A-Za-z0-9-]{2,24})++|\b[A-Za-z0-9._%+-]{1,64}\sat\s[A-Za-z0-9-]{1,63}(?:\sdot\s[A-Za-z0-9-]{2,24})++",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
