@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lmdata.llm import line_dedup, mixing, packing, simhash, toxicity
+from lmdata.llm import line_dedup, mixing, near_copies, packing, toxicity
 from lmdata.llm.common import documents, shipped, staged
 
 
@@ -21,9 +21,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """The documents that are not near one kept before them: five-word shingles, Jaccard similarity of 0.8 or more."""
     shipped(spark)
-    return simhash.near_dedup(docs)
+    return near_copies.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
