@@ -1,4 +1,8 @@
-"""Connected components by alternating star contraction; each round is a table in the shared folder."""
+"""Connected components by alternating star contraction; each round is a table in the shared folder.
+
+A node that very many edges meet gets its smallest neighbour by broadcast, so that its edges stay where they are; minima are
+taken in two steps.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,10 @@ from pyspark.sql import functions as F
 
 from lmdata.llm.common import staged
 
+#: A node with more edges than this, and than one in MOST_HOT of all, is hot: there are at most 2 * MOST_HOT of them.
+HOT, MOST_HOT = 64, 10_000
+SALTS = 16
+
 
 def _mark(edges: DataFrame) -> tuple:
     """Number of edges and a checksum: the same twice in a row when nothing changes any more."""
@@ -14,18 +22,32 @@ def _mark(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(rows: DataFrame) -> DataFrame:
+    """(c, m, n): the smallest v and the number of rows of each u."""
+    salted = rows.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("salt")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return salted.groupBy(F.col("u").alias("c")).agg(F.min("m").alias("m"), F.sum("n").alias("n"))
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """(u, v, m): rows with their u's entry in ``least``."""
+    hot = F.broadcast(least.filter(F.col("n") > max(HOT, n_edges // MOST_HOT)).select("c", "m"))  # at most 2 * MOST_HOT rows
+    many = rows.join(hot, F.col("u") == F.col("c")).select("u", "v", "m")
+    few = rows.join(hot, F.col("u") == F.col("c"), "left_anti").join(least, F.col("u") == F.col("c")).select("u", "v", "m")
+    return many.union(few)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node hands its larger neighbours to its smallest neighbour, or itself."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    handed = _with_least(both.filter("v > u"), _least(both), n)
+    return handed.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    handed = down.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
+    least = _least(down)
+    handed = _with_least(down, least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
     return handed.filter("u != v").distinct()
 
 
@@ -34,7 +56,8 @@ def components(edges: DataFrame) -> DataFrame:
     at = staged(edges.filter("u != v").select("u", "v"), "edges")
     mark = _mark(at)
     while True:
-        at = staged(_small_star(_large_star(at)), "stars")
+        large = staged(_large_star(at, mark[0]), "large")
+        at = staged(_small_star(large, mark[0]), "stars")
         new = _mark(at)
         if new == mark:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,12 +1,14 @@
-"""Near copies by their sets of five-word shingles: documents with a Jaccard similarity of 0.8 or more, all of them.
+"""SimHash near-dedup of sets of five-word shingles: documents with a Jaccard similarity of 0.8 or more, all of them.
 
-Candidates come from a prefix filter, which loses none: in one order of all shingles, two sets so alike share one of the
-first 20 % of each.  Common shingles come last in that order; which ones count as common decides only the cost.  Every
-candidate is verified on the whole sets.
+Sets so alike have fingerprints that differ in few bits, but not in so few that equal blocks of bits would find all pairs.
+So tiles are made from texts that share a shingle which is among the first 20 % of both, in one order of all shingles: sets
+with a similarity of 0.8 have one in common.  (Common shingles come last in that order; which ones count as common
+decides only the cost.)  Within these the fingerprints are compared exactly, tile against tile, and what is within the
+radius is verified on the whole sets.
 
-A shingle that few texts have in their prefix gives all its pairs.  One that many have gives pairs with its first texts
-only; what is near one of these is dropped, and the rest of the group goes into the next round, in the end as all pairs.
-So a large group of near copies costs a few comparisons a text.
+A group of near copies is compared in two turns.  First each text of a large group is linked with the first one it is near to.
+Then only texts that are still in different components are compared, all of them, so that no link between components
+is lost and a group of thousands costs a few verifications a text.
 """
 
 from __future__ import annotations
@@ -20,14 +22,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lmdata.llm.common import NULL_ID, boxed, staged, unboxed
-from lmdata.operators.dedup import greedy
+from lmdata.llm.components import components
+from lmdata.llm.simhash import TILE, majority, near_pairs
 
 SHINGLE, SEED = 5, 42
-#: Texts of a shingle that are compared all with all; of more, PIVOTS are compared with the others, ROUNDS times.
-GROUP, PIVOTS, ROUNDS = 16, 8, 4
+#: A fingerprint has 256 bits.  Of sets with a similarity of 0.8, 39 differ, with a deviation of 5.8; beyond the radius are
+#: fewer than one pair in 10^9.  Sets of fewer than SMALL shingles, whose bits vary more, are compared without it.
+BITS, RADIUS, SMALL = 256, 76, 32
+PARTS = BITS // 64
+MIXERS = tuple(np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(PARTS))
+#: Groups of so many texts give all their pairs in the first turn.
+GROUP = 4
 #: Common shingles are sought in about SOUGHT texts; at most COMMON of them are sent to the tasks.
 SOUGHT, COMMON = 8192, 65536
 STEP = 1024
+#: Rows that a task takes, and links of one text that are verified in one task.
+ROWS_EACH, LINKS_EACH, MOST_HOT = 1 << 20, 64, 10_000
+#: Bits of the filter that says which texts are needed again: 16 for each, at most this many (16 MB).
+MOST_BITS = 1 << 27
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -41,97 +53,199 @@ def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter([digest(words[s:e], SEED) for s, e in zip(starts, ends[n - 1 :], strict=False)], dtype=np.uint64))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, text) to (node, set)."""
-    for b in batches:
-        for at in range(0, b.num_rows, STEP):
-            part = b.slice(at, STEP)
-            found = [shingles((t.as_py() or "").encode()).view(np.int64) for t in part.column(1)]
-            offsets = pa.array(np.cumsum([0, *[len(f) for f in found]]), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], names=["node", "set"])
+def fingerprint(own: np.ndarray) -> list[int]:
+    """The SimHash of a set of hashes, in parts of 64 bits: a bit is 1 if it is set in over half of them."""
+    out = []
+    for by in MIXERS:
+        h = own * by
+        h ^= h >> np.uint64(32)
+        h *= MIXERS[0]
+        out.append(majority(h ^ (h >> np.uint64(29))))
+    return out
 
 
-def prefixes(common: np.ndarray):
-    """Rows (id, node, text) to (token, id, node, at): a set's first shingles; at holds its size and the shingle's place."""
+def prefix_size(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1
+
+
+PRINTS = [f"f{i}" for i in range(PARTS)]
+SKETCH = "id long, node long, n long, " + ", ".join(f"{f} long" for f in PRINTS) + ", prefix array<long>"
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(values).view(np.int64) if values else np.empty(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(v) for v in values]]), pa.int32()), pa.array(flat))
+
+
+def sketches(common: np.ndarray):
+    """Rows (id, node, text) to (id, node, n, the fingerprint's parts, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, STEP):
                 part = b.slice(start, STEP)
-                tokens, places, sizes = [], [], []
+                sizes, prints, prefixes = [], [], []
                 for t in part.column(2):
                     own = shingles((t.as_py() or "").encode())
-                    last = common[np.searchsorted(common[:-1], own)] == own if len(common) else np.zeros(len(own), dtype=bool)
-                    n = len(own)
-                    first = np.concatenate([own[~last], own[last]])[: n - (4 * n + 4) // 5 + 1]
-                    tokens.append(first)
-                    places.append((n << 32) + np.arange(len(first), dtype=np.int64))
-                    sizes.append(len(first))
-                ids, nodes = (np.repeat(part.column(c).to_numpy(), sizes) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(ids), pa.array(nodes), pa.array(np.concatenate(places))], names=["token", "id", "node", "at"])
+                    last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), dtype=bool)
+                    sizes.append(len(own))
+                    prints.append(fingerprint(own))
+                    prefixes.append(np.concatenate([own[~last], own[last]])[: prefix_size(len(own))])
+                columns = np.array(prints, dtype=np.uint64).view(np.int64).T
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), *map(pa.array, columns), _lists(prefixes)], names=["id", "node", "n", *PRINTS, "prefix"])
 
     return run
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sets that share a shingle at these places can have 0.8 in common: what is before it and after it bounds that."""
-    (n, i), (m, j) = (x >> 32, x & 0xFFFFFFFF), (y >> 32, y & 0xFFFFFFFF)
-    return 9 * (np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1) >= 4 * (n + m)
+def whole_sets(bits: int, needed: bytes):
+    """Rows (node, text) to (node, set) of the texts that the filter names, each once a task."""
+    table = np.frombuffer(needed, dtype=np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            node = b.column(0).to_numpy()
+            at = node & (bits - 1)
+            for rows in np.array_split(np.flatnonzero(table[at >> 3] >> (at & 7) & 1), b.num_rows // STEP + 1):
+                rows = [i for i in rows.tolist() if not (node[i] in seen or seen.add(node[i]))]
+                if rows:
+                    found = [shingles((b.column(1)[i].as_py() or "").encode()) for i in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), _lists(found)], names=["node", "set"])
+
+    return run
+
 
+def _whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
+    table = pa.Table.from_batches(found) if (found := list(batches)) else None
+    return [table.column(c).to_numpy() if table else np.empty(0, dtype=np.int64) for c in names]
 
-def match(last: bool):
-    """Rows (token, id, node, at) of whole tokens to pairs (a, b), a first, without token, and to the rows left for the next round."""
-    names = ["token", "id", "node", "at", "a", "b"]
 
-    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of runs of equal keys."""
+    if not len(keys[0]):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    new = np.zeros(len(keys[0]) - 1, dtype=bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    starts = np.flatnonzero(np.r_[True, new])
+    return starts, np.diff(np.r_[starts, len(keys[0])])
+
+
+def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, label) of whole keys to (key, part, node, label) of those that more than one label shares.
+
+    A key that more than TILE texts hold is cut into parts, each with the first tile of the largest label and a tile of
+    the others; tiles of one label are not paired.
+    """
+    names = ["key", "part", "node", "label"]
+    key, node, label = _whole(batches, ["key", "node", "label"])
+    order = np.lexsort((node, label, key))
+    key, node, label = key[order], node[order], label[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]  # equal texts count once
+    key, node, label = key[fresh], node[fresh], label[fresh]
+    starts, sizes = _groups(key)
+    mixed = label[starts] != label[starts + sizes - 1] if len(starts) else np.empty(0, dtype=bool)
+    few = np.repeat(mixed & (sizes <= TILE), sizes)
+    if few.any():
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[few], np.zeros(few.sum(), dtype=np.int64), node[few], label[few])], names=names)
+    for g in np.flatnonzero(mixed & (sizes > TILE)):
+        own, said = node[starts[g] : starts[g] + sizes[g]], label[starts[g] : starts[g] + sizes[g]]
+        tiles, part = range(0, len(own), TILE), 0
+        for a in tiles:
+            for b in tiles[a // TILE :]:
+                if said[a] != said[min(b + TILE, len(own)) - 1]:
+                    rows = np.unique(np.r_[a : min(a + TILE, len(own)), b : min(b + TILE, len(own))])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(rows), key[starts[g]]), np.full(len(rows), part), own[rows], said[rows])], names=names)
+                    part += 1
+
+
+def deal_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) of whole keys to (key, part, node) of those that several texts hold.
+
+    A key that more than TILE texts hold is cut into parts, each with the first tile and another.
+    """
+    names = ["key", "part", "node"]
+    key, node = _whole(batches, ["key", "node"])
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
+    key, node = key[fresh], node[fresh]
+    starts, sizes = _groups(key)
+    few = np.repeat((sizes > 1) & (sizes <= TILE), sizes)
+    if few.any():
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[few], np.zeros(few.sum(), dtype=np.int64), node[few])], names=names)
+    for g in np.flatnonzero(sizes > TILE):
+        own = node[starts[g] : starts[g] + sizes[g]]
+        for part, at in enumerate(range(TILE, len(own), TILE)):
+            rows = np.r_[own[:TILE], own[at : at + TILE]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(rows), key[starts[g]]), np.full(len(rows), part), rows)], names=names)
+
+
+def match(first: bool, group: int = GROUP):
+    """Rows (key, part, node, label, n, the fingerprint's parts) of whole parts to pairs (a, b), a < b, and to rows (key, node).
+
+    In the first turn small groups give all their pairs, and large ones of each text the pair with the first it is near to; the
+    rows (key, node) are those of large groups.  In the second all pairs of texts with different labels are given.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "key", "node")])
+
+    def sent(a, b, key, node) -> pa.RecordBatch:
         both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), dtype=np.int64)
-        none = pa.nulls(both.shape[1], pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(both[0]), pa.array(both[1])], names=names)
+        none, blank = pa.nulls(len(key), pa.int64()), pa.nulls(both.shape[1], pa.int64())
+        return pa.table([pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x, y]) for x, y in ((pa.array(both[0]), none), (pa.array(both[1]), none), (blank, pa.array(key)), (blank, pa.array(node)))], schema=schema).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not batches:
+        names = ["key", "part", "node", "label", "n", *PRINTS]
+        key, part, node, label, n, *prints = _whole(batches, names)
+        if not len(key):
             return
-        table = pa.Table.from_batches(batches)
-        token, id_, node, at = (table.column(c).to_numpy() for c in ("token", "id", "node", "at"))
-        order = np.lexsort((id_, node, token))
-        token, id_, node, at = token[order], id_[order], node[order], at[order]
-        keep = np.r_[True, (np.diff(token) != 0) | (np.diff(node) != 0)][: len(token)]  # copies: the first id
-        token, id_, node, at = token[keep], id_[keep], node[keep], at[keep]
-        ends = np.flatnonzero(np.r_[np.diff(token) != 0, True][: len(token)]) + 1
-        sizes = np.diff(np.r_[0, ends])
-        many = np.repeat(sizes > 1, sizes)
-        token, id_, node, at = token[many], id_[many], node[many], at[many]
-        sizes = sizes[sizes > 1]
-        order = np.lexsort((node, id_, token))
-        token, id_, node, at = token[order], id_[order], node[order], at[order]
-        starts = np.cumsum(sizes) - sizes
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        few = sizes <= GROUP
-        for off in range(1, GROUP):  # many small groups at once
-            use = few & (sizes > off)
-            for k in range(GROUP - off):
-                i = starts[use & (sizes > off + k)] + k
-                i = i[_alike(at[i], at[i + off])]
-                found.append((node[i], node[i + off]))
-        left = []
-        for g in np.flatnonzero(~few):
+        fp = np.stack(prints, axis=1).view(np.uint64)
+        order = np.lexsort((node, part, key))
+        key, part, node, label, n, fp = key[order], part[order], node[order], label[order], n[order], fp[order]
+        starts, sizes = _groups(key, part)
+        pairs_a, pairs_b, open_keys, open_nodes, held = [], [], [], [], 0
+
+        def alike(i, j):
+            """Whether the sets at i and j may be near: by size, and by fingerprint unless one is small."""
+            ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (label[i] != label[j])
+            return ok & ((np.bitwise_count(fp[i] ^ fp[j]).sum(axis=-1, dtype=np.int64) <= RADIUS) | (np.minimum(n[i], n[j]) < SMALL))
+
+        small = sizes <= max(group, 2)
+        for off in range(1, max(group, 2)):  # many small groups at once
+            for k in range(max(group, 2) - off):
+                i = starts[small & (sizes > off + k)] + k
+                i = i[alike(i, i + off)]
+                pairs_a.append(node[i])
+                pairs_b.append(node[i + off])
+        for g in np.flatnonzero(~small):
             s, e = starts[g], starts[g] + sizes[g]
-            for i in range(s, e if last else s + PIVOTS):
-                j = np.arange(i + 1, e)
-                j = j[_alike(at[i : i + 1], at[j])]
-                found.append((np.full(len(j), node[i]), node[j]))
-                if len(found) > 1 << 14:
-                    yield pairs(*map(np.concatenate, zip(*found, strict=True)))
-                    found = []
-            if not last:
-                left.append(np.arange(s + PIVOTS, e))
-        if found:
-            yield pairs(*map(np.concatenate, zip(*found, strict=True)))
-        if left:
-            at_ = np.concatenate(left)
-            none = pa.nulls(len(at_), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[pa.array(c[at_]) for c in (token, id_, node, at)], none, none], names=names)
+            nearest = np.full(sizes[g], -1)
+            for i, j in near_pairs(fp[s:e], np.where(n[s:e] < SMALL, BITS, RADIUS)):
+                ok = alike(s + i, s + j)
+                i, j = i[ok], j[ok]
+                if first:  # the first of the nodes that each is near to
+                    best = np.full(sizes[g], sizes[g])
+                    np.minimum.at(best, j, i)
+                    hit = np.flatnonzero(best < sizes[g])
+                    nearest[hit] = np.where(nearest[hit] < 0, best[hit], np.minimum(nearest[hit], best[hit]))
+                else:
+                    pairs_a.append(node[s + i])
+                    pairs_b.append(node[s + j])
+                    held += len(i)
+                    if held > 1 << 20:
+                        yield sent(np.concatenate(pairs_a), np.concatenate(pairs_b), key[:0], node[:0])
+                        pairs_a, pairs_b, held = [], [], 0
+            if first:
+                j = np.flatnonzero(nearest >= 0)
+                pairs_a.append(node[s + nearest[j]])
+                pairs_b.append(node[s + j])
+                used = np.unique(np.r_[j, nearest[j]])
+                open_keys.append(key[s + used])
+                open_nodes.append(node[s + used])
+        some = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
+        a, b, k, o = some(pairs_a), some(pairs_b), some(open_keys), some(open_nodes)
+        if len(a) or len(k):
+            yield sent(np.minimum(a, b), np.maximum(a, b), k, o)
 
     return run
 
@@ -140,36 +254,69 @@ def _common(texts: DataFrame) -> np.ndarray:
     """The commonest shingles of about SOUGHT texts."""
     every = max(1, texts.count() // SOUGHT)
     some = texts.filter(F.pmod("node", F.lit(every)) == 0).select("node", "text").dropDuplicates(["node"])
-    counts = some.mapInArrow(_sets, "node long, set array<long>").select(F.explode("set").alias("token")).groupBy("token").count()
-    top = counts.filter(F.col("count") > 2).orderBy(F.col("count").desc(), "token").limit(COMMON)
+    sets = some.mapInArrow(whole_sets(8, b"\xff"), "node long, set array<long>")
+    top = sets.select(F.explode("set").alias("token")).groupBy("token").count().filter(F.col("count") > 2).orderBy(F.col("count").desc(), "token").limit(COMMON)
     return np.sort(np.array([r["token"] for r in top.select("token").collect()], dtype=np.int64).view(np.uint64))
 
 
-def near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set) of the texts that ``nodes`` names.  A filter of bounded size keeps most others from being read again."""
+    bits = min(MOST_BITS, 1 << max(15, (16 * nodes.count()).bit_length()))
+    marks = nodes.select(F.col("node").bitwiseAND(F.lit(bits - 1)).alias("at")).select(F.shiftright("at", 15).alias("block"), F.col("at").bitwiseAND(F.lit((1 << 15) - 1)).alias("at"))
+    rows = marks.groupBy("block").agg(F.bitmap_construct_agg("at").alias("m")).collect()  # at most 4096 rows of 4 kB
+    table = bytearray(bits // 8)
+    for r in rows:
+        table[r["block"] << 12 : (r["block"] << 12) + 4096] = r["m"]
+    found = texts.select("node", "text").mapInArrow(whole_sets(bits, bytes(table)), "node long, set array<long>").dropDuplicates(["node"])
+    return staged(found.join(nodes, "node", "left_semi"), "sets")
+
+
+def _met(pairs: DataFrame, sets: DataFrame, side: str, name: str, n_pairs: int) -> DataFrame:
+    """``pairs`` with the set of one side; a text with very many pairs is copied, and its pairs dealt over the copies."""
+    each = max(LINKS_EACH, n_pairs // MOST_HOT)
+    hot = pairs.groupBy(F.col(side).alias("h")).agg(F.ceil(F.count(F.lit(1)) / each).alias("copies")).filter("copies > 1")
+    hot = F.broadcast(hot)  # at most MOST_HOT rows
+    other = "b" if side == "a" else "a"
+    asked = pairs.join(hot, F.col(side) == F.col("h"), "left").withColumn("turn", F.when(F.col("h").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(other), "copies"))).drop("h", "copies")
+    given = sets.join(hot, F.col("node") == F.col("h"), "left").select(F.col("node").alias("_node"), F.col("set").alias(name), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("_turn"))
+    return asked.join(given, (F.col(side) == F.col("_node")) & (F.col("turn") == F.col("_turn"))).drop("_node", "_turn", "turn")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = texts.select("node", "text").dropDuplicates(["node"]).join(needed, "node", "left_semi")
-    sets = staged(rows.mapInArrow(_sets, "node long, set array<long>"), "sets")
-    x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    n = pairs.count()
+    both = _met(_met(pairs, sets, "b", "y", n), sets, "a", "x", n)
+    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def dropped(docs: DataFrame) -> DataFrame:
-    """The texts (node) that are near one kept before them."""
+def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of the different texts of ``docs`` with their smallest id, and (node, root) of those that others are near to."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), _node().alias("node"), "text")
-    rows, gone = texts.mapInArrow(prefixes(_common(texts)), "token long, id long, node long, at long"), None
-    for turn in range(ROUNDS + 1):
-        found = rows.repartition("token").mapInArrow(match(turn == ROUNDS), "token long, id long, node long, at long, a long, b long")
-        found = staged(found, "candidates")
-        pairs = staged(found.filter("token IS NULL").select("a", "b").distinct(), "pairs")
-        edges = staged(near(pairs, texts), "near")
-        ends = edges.select(F.col("b").alias("node")).distinct()
-        out = staged(ends.join(greedy(ends, edges, "node"), "node", "left_anti"), "gone")
-        gone = out if gone is None else gone.union(out)
-        rows = found.filter("token IS NOT NULL").select("token", "id", "node", "at").join(out, "node", "left_anti").select("token", "id", "node", "at")
-        if rows.isEmpty():
-            break
-    return gone
+    known = staged(texts.mapInArrow(sketches(_common(texts)), SKETCH), "sketches")
+    total = known.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // ROWS_EACH)
+    rows = known.select(F.explode("prefix").alias("key"), "node").repartition(parts, "key")
+    dealt = staged(rows.mapInArrow(deal_first, "key long, part long, node long"), "dealt")
+    meta = known.select("node", "n", *PRINTS).dropDuplicates(["node"])
+
+    def turn(dealt: DataFrame, first: bool) -> DataFrame:
+        full = dealt.join(meta, "node").select("key", "part", "node", "label", "n", *PRINTS).repartition(parts, "key", "part")
+        return full.mapInArrow(match(first), "a long, b long, key long, node long")
+
+    found = staged(turn(dealt.withColumn("label", F.col("node")), True), "candidates")
+    pairs = staged(found.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    nodes = staged(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    sets = _sets(texts, nodes)
+    edges = staged(verified(pairs, sets), "near")
+    labels = components(edges)
+    rest = found.filter("key IS NOT NULL").select("key", "node").distinct().join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    left = staged(rest.repartition(parts, "key").mapInArrow(deal, "key long, part long, node long, label long"), "left")
+    if not left.isEmpty():
+        more = turn(left, False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = staged(verified(staged(more, "pairs"), sets), "near")
+        if not more.isEmpty():
+            labels = components(edges.union(more))
+    return known.groupBy("node").agg(F.min("id").alias("id")), labels
 
 
 def _node():
@@ -177,11 +324,14 @@ def _node():
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: a text goes if it is near one kept before it, by doc_id; equal texts leave one row.
+    """The rows of ``docs`` that stay: of each group that is connected by links of 0.8 or more, the row with the smallest doc_id.
 
-    Defined cases: texts without words are near each other; a null doc_id sorts after every other.
+    Defined cases: null and empty texts and those without words are near each other; equal texts leave one row; a null doc_id
+    sorts after every other; of rows that tie in doc_id the text with the smallest hash stays, once; an empty table
+    gives an empty result; other columns pass through, whatever their names.  Texts are named by a 64-bit hash.
     """
+    nodes, labels = near_groups(docs)
+    firsts = nodes.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "node")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.node").alias("_node"))
     own = docs.select(boxed(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), _node().alias("_node"))
-    first = own.groupBy("_node").agg(F.min("_id").alias("_id")).join(dropped(docs).withColumnRenamed("node", "_node"), "_node", "left_anti")
-    one = Window.partitionBy("_node", "_id").orderBy(F.col("_own.text").asc_nulls_last())
-    return own.join(first, ["_node", "_id"]).withColumn("_row", F.row_number().over(one)).filter("_row = 1").select(*unboxed(docs))
+    one = Window.partitionBy("_id", "_node").orderBy(F.col("_own.text").asc_nulls_last())
+    return own.join(firsts, ["_id", "_node"]).withColumn("_row", F.row_number().over(one)).filter("_row = 1").select(*unboxed(docs))

@@ -38,7 +38,11 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     if len(starts) < n:
         return xxhash.xxh64_intdigest(words, SEED)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(words[s:e], SEED) for s, e in zip(starts, ends[n - 1 :], strict=False)], dtype="<u8")
+    return majority(np.fromiter([digest(words[s:e], SEED) for s, e in zip(starts, ends[n - 1 :], strict=False)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 255 * 256):
         part = hashes[at : at + 255 * 256]
@@ -76,6 +80,30 @@ def linked(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+def near_pairs(prints: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of wide fingerprints (a row of 64-bit parts each) within the radius of either, a pair of tiles at a time.
+
+    Tiles hold fingerprints of like population count; pairs of tiles are skipped if their counts differ by more than the radius.
+    """
+    counts = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+    order = np.argsort(counts, kind="stable")
+    prints, counts, radius, widest = prints[order], counts[order], radius[order], int(radius.max())
+    for i in range(0, len(prints), STEP):
+        a, most = prints[i : i + STEP], radius[i : i + STEP]
+        for j in range(i, len(prints), STEP):
+            if counts[j] - counts[min(i + STEP, len(prints)) - 1] > widest:
+                break
+            c = prints[j : j + STEP]
+            differ = np.zeros((len(a), len(c)), dtype=np.uint16)
+            for k in range(prints.shape[1]):
+                differ += np.bitwise_count(a[:, None, k] ^ c[None, :, k])
+            x, y = np.nonzero(differ <= np.maximum(most[:, None], radius[None, j : j + STEP]))
+            x, y = order[x + i], order[y + j]
+            fresh = x != y if i != j else x < y
+            x, y = x[fresh], y[fresh]
+            yield np.minimum(x, y), np.maximum(x, y)
+
+
 def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches: as many links as nodes say all that the pairs say."""
     root = np.arange(n)
@@ -163,7 +191,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, once."""
+    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, once.
+
+    Defined cases: as in ``groups``; of rows that tie in doc_id the smallest text stays, null last; other columns pass through.
+    """
     found = groups(docs, **options)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     own = docs.select(boxed(docs))

@@ -1,25 +1,33 @@
-"""The pipeline's near dedup against the sequential rule by brute force."""
+"""The pipeline's near dedup against all pairs by brute force."""
 
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from lmdata.llm import near_copies, simhash
 
 
 def kept(rows):
-    """Ids that stay when every text is held against those kept before it."""
-    out, seen = [], set()
-    for i, text in sorted(rows):
-        own = set(near_copies.shingles(text.encode()).tolist())
-        if text not in seen and all(9 * len(own & s) < 4 * (len(own) + len(s)) for _, s in out):
-            out.append((i, own))
-        seen.add(text)
-    return sorted(i for i, _ in out)
-
-
-def texts():
-    draw = random.Random(5)
+    """Ids that stay when one text of each group that links of 0.8 connect is kept, the first."""
+    sets = [(i, set(near_copies.shingles((t or "").encode()).tolist())) for i, t in sorted(rows)]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted(i for i in root if root[i] == i)
+
+
+def texts(seed=5):
+    draw = random.Random(seed)
     base = [[str(draw.randrange(10_000)) for _ in range(120)] for _ in range(8)]
     rows = [(i, " ".join(b)) for i, b in enumerate(base)]
     for i in range(8, 88):  # one changed word takes five of 116 shingles on either side
@@ -27,17 +35,59 @@ def texts():
         for _ in range(draw.randrange(1, 5)):
             words[draw.randrange(120)] = "x%d" % draw.randrange(10_000)
         rows.append((i, " ".join(words)))
-    return [*rows, (90, ""), (91, " \n"), (92, "one two"), (93, "One  two"), (94, rows[0][1])]
+    for i in range(100, 110):  # a chain: each is near the one before, the ends are far apart
+        words = list(base[7])
+        words[: 3 * (i - 99)] = ["y%d" % k for k in range(3 * (i - 99))]
+        rows.append((i, " ".join(words)))
+    return [*rows, (90, ""), (91, " \n"), (92, "one two"), (93, "One  two"), (94, rows[0][1]), (95, "a b c d e f g h"), (96, "a b c d e f g h i"), (97, None)]
 
 
-@pytest.mark.parametrize("group", [2, 16])
-def test_stage_equals_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(near_copies, "GROUP", group)
-    monkeypatch.setattr(near_copies, "PIVOTS", min(group, near_copies.PIVOTS))
-    rows = texts()
+def stage(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "")
-    assert sorted(r.doc_id for r in out.collect()) == kept(rows)
+    return sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "").collect())
+
+
+@pytest.mark.parametrize(("group", "tile"), [(2, 5), (2, 4096), (4, 4096)])
+def test_stage_equals_brute_force(spark, monkeypatch, group, tile):
+    match = near_copies.match
+    monkeypatch.setattr(near_copies, "match", lambda first: match(first, group))
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    assert stage(spark, texts()) == kept(texts())
+
+
+def test_cut_keys_give_all_pairs():
+    import pyarrow as pa
+
+    key, node, label = np.zeros(40, dtype=np.int64), np.arange(40), np.r_[np.zeros(25, dtype=np.int64), np.arange(1, 16)]
+    old, near_copies.TILE = near_copies.TILE, 4
+    try:
+        parts = list(near_copies.deal(iter([pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(label)], names=["key", "node", "label"])])))
+    finally:
+        near_copies.TILE = old
+    met = {(a, b) for p in parts for a in p["node"].to_pylist() for b in p["node"].to_pylist()}
+    assert all((a, b) in met for a in range(40) for b in range(40) if label[a] != label[b]) and max(p.num_rows for p in parts) <= 8
+
+
+def test_near_pairs_of_wide_fingerprints():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, (1300, 4), dtype=np.uint64)
+    prints[600:] = prints[:700] ^ (np.uint64(1) << rng.integers(0, 64, (700, 4), dtype=np.uint64))
+    radius = np.where(np.arange(1300) == 7, 110, 5)
+    got = {(int(a), int(b)) for x, y in simhash.near_pairs(prints, radius) for a, b in zip(x, y, strict=True)}
+    differ = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    want = {(int(a), int(b)) for a, b in np.argwhere(differ <= np.maximum(radius[:, None], radius[None])) if a < b}
+    assert got == want and len(got) > 600
+
+
+def test_radius_holds_pairs_at_the_threshold():
+    rng = np.random.default_rng(4)
+    worst = 0
+    for n in (36, 90, 360):
+        for _ in range(400):
+            h = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+            x, y = (np.array(near_copies.fingerprint(s), dtype=np.uint64) for s in (h[:n], h))
+            worst = max(worst, int(np.bitwise_count(x ^ y).sum()))
+    assert worst <= near_copies.RADIUS
 
 
 def test_pair_beyond_three_bits_is_dropped(spark):
@@ -46,5 +96,13 @@ def test_pair_beyond_three_bits_is_dropped(spark):
     pair = [(1, " ".join(words)), (2, " ".join(other))]
     prints = [simhash.fingerprint(t.encode()) for _, t in pair]
     assert (prints[0] ^ prints[1]).bit_count() > simhash.RADIUS
-    out = dict(corpus_pipeline.STAGES)["simhash"](spark, spark.createDataFrame(pair, "doc_id long, text string"), "")
-    assert [r.doc_id for r in out.collect()] == [1]
+    assert stage(spark, pair) == [1]
+
+
+def test_empty_and_clashing_columns(spark):
+    run = dict(corpus_pipeline.STAGES)["simhash"]
+    assert run(spark, spark.createDataFrame([], "doc_id long, text string, node string"), "").columns == ["doc_id", "text", "node"]
+    assert run(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+    rows = [(None, "a b c d e f", "x"), (None, "a b c d e f", "y"), (3, None, "z"), (3, "", "q")]
+    out = run(spark, spark.createDataFrame(rows, "doc_id long, text string, node string"), "").collect()
+    assert sorted((r.doc_id is None, r.text or "") for r in out) == [(False, ""), (True, "a b c d e f")]
