@@ -68,6 +68,47 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return out
 
 
+#: Bits of a filter at most: 16 MB.
+MOST_BITS = 1 << 27
+
+
+def bit_filter(values: DataFrame, n: int) -> tuple[int, bytes]:
+    """(bits, table) of a frame of one whole-number column with about ``n`` rows: a value's bit is the one its low bits say.
+
+    There are 16 bits for each row, up to MOST_BITS.  What the filter passes has to be looked up exactly, so that a full one costs time alone.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (16 * n).bit_length()))
+    at = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1))
+    marks = values.select(F.shiftright(at, 15).alias("block"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("at"))
+    table = bytearray(bits // 8)
+    for r in marks.groupBy("block").agg(F.bitmap_construct_agg("at").alias("m")).collect():  # at most 4096 rows of 4 kB
+        table[r["block"] << 12 : (r["block"] << 12) + 4096] = r["m"]
+    return bits, bytes(table)
+
+
+#: Bytes of text that one part of a table dealt to parts holds.
+PART_BYTES = 16 << 20
+
+
+def parts_of(text: DataFrame) -> int:
+    """In how many parts to deal out a frame of one text column: at least the shuffle's partitions, and none much over PART_BYTES."""
+    total = text.agg(F.sum(F.octet_length(text.columns[0]).cast("long"))).first()[0] or 0
+    return max(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
+
+
+#: A key is hot if more rows than this, and than one in MOST_HOT of all, have it: there are at most MOST_HOT such keys.
+HOT, MOST_HOT = 64, 10_000
+
+
+def joined_with(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` inner-joined with ``table``, which has a row per key and in n how many of the ``total`` rows have it.
+
+    The rows of hot keys stay where they are and get their entry by broadcast, so that no key's rows meet in one task.
+    """
+    hot = F.broadcast(table.filter(F.col("n") > max(HOT, total // MOST_HOT)))  # at most MOST_HOT rows
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(table, keys))
+
+
 def with_rank(df: DataFrame, keys: list[str], bucket: str, order: list[Column], rank: str, carry: DataFrame | None = None) -> DataFrame:
     """Number the rows of each key from 0 without bringing a whole key into one task.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID, boxed, staged, unboxed
+from lmdata.llm.common import NULL_ID, bit_filter, boxed, staged, unboxed
 from lmdata.llm.components import components
 from lmdata.llm.simhash import TILE, majority, near_pairs
 
@@ -38,8 +38,6 @@ SOUGHT, COMMON = 8192, 65536
 STEP = 1024
 #: Rows that a task takes, and links of one text that are verified in one task.
 ROWS_EACH, LINKS_EACH, MOST_HOT = 1 << 20, 64, 10_000
-#: Bits of the filter that says which texts are needed again: 16 for each, at most this many (16 MB).
-MOST_BITS = 1 << 27
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -261,13 +259,8 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, set) of the texts that ``nodes`` names.  A filter of bounded size keeps most others from being read again."""
-    bits = min(MOST_BITS, 1 << max(15, (16 * nodes.count()).bit_length()))
-    marks = nodes.select(F.col("node").bitwiseAND(F.lit(bits - 1)).alias("at")).select(F.shiftright("at", 15).alias("block"), F.col("at").bitwiseAND(F.lit((1 << 15) - 1)).alias("at"))
-    rows = marks.groupBy("block").agg(F.bitmap_construct_agg("at").alias("m")).collect()  # at most 4096 rows of 4 kB
-    table = bytearray(bits // 8)
-    for r in rows:
-        table[r["block"] << 12 : (r["block"] << 12) + 4096] = r["m"]
-    found = texts.select("node", "text").mapInArrow(whole_sets(bits, bytes(table)), "node long, set array<long>").dropDuplicates(["node"])
+    bits, table = bit_filter(nodes, nodes.count())
+    found = texts.select("node", "text").mapInArrow(whole_sets(bits, table), "node long, set array<long>").dropDuplicates(["node"])
     return staged(found.join(nodes, "node", "left_semi"), "sets")
 
 

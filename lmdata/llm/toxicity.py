@@ -9,6 +9,7 @@ fitted on the training rows.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -19,20 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import documents
+from lmdata.llm.common import documents, staged
 
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of the id.
 MAX_TRAIN = 12_000
 FOLDS, HELD_OUT = 5, 0
-#: Candidates for the lexicon that reach the driver, and the largest lexicon.
-MAX_CANDIDATES, MAX_TERMS = 4000, 400
 STEMS = range(3, 8)
 #: A term is a candidate from this lift on (its share of toxic documents over that of clean ones), a whole hit from the other.
 LEAST_LIFT, WHOLE_LIFT = 8, 200
 TOKEN = re.compile(r"\w(?:[\w*@$!]*\w)?")
-#: Words this long may differ from a term by one edit.
-FUZZY_LENGTH = 5
-EXACT, FUZZY, QUOTED = 1.0, 0.4, 0.3
+#: Words this long may differ from a term by one edit; stems this long too, for less.
+FUZZY_LENGTH, FUZZY_STEM = 5, 6
+EXACT, FUZZY, FUZZY_CONTINUED, QUOTED = 1.0, 0.4, 0.2, 0.3
 CONTEXT = 8
 QUOTES = "\"'“”„«»‘’"
 #: Words that report speech, in the languages of the corpus.
@@ -55,8 +54,8 @@ class Memo(dict):
 class Matcher:
     """Lexicon trie x Levenshtein automaton of distance 1, determinised lazily.
 
-    A state is the set of (trie node, edits) that the characters so far can reach.  ``stems`` accept any continuation
-    and only without edits; ``words`` accept with one edit if they are long enough.
+    A state is the set of (trie node, edits) that the characters so far can reach.  ``stems`` accept any continuation.
+    Both accept with one edit if they are long enough; ``clean`` words, which clean texts hold, are not accepted so.
     """
 
     def __init__(self, words: list[str], stems: list[str], clean: frozenset[str] = frozenset(), worth: dict[str, float] | None = None):
@@ -73,7 +72,7 @@ class Matcher:
                     self.stem.append(False)
                     self.long.append(False)
                 node = self.next[node][c]
-                self.long[node] |= not stem and len(name) >= FUZZY_LENGTH
+                self.long[node] |= len(name) >= (FUZZY_STEM if stem else FUZZY_LENGTH)
             if self.term[node] < 0 or stem:
                 self.term[node], self.stem[node] = len(self.names), stem
             self.names.append(name)
@@ -82,6 +81,7 @@ class Matcher:
         self.states: list[frozenset] = [self.close({(0, 0)})]
         self.ids = {self.states[0]: 0}
         self.steps: list[dict[str, int]] = [{}]
+        self.stops: list[list[tuple[int, int]]] = [[]]
         self.memo = Memo(self.match)
 
     def close(self, state: set) -> frozenset:
@@ -103,26 +103,32 @@ class Matcher:
             to = self.ids[closed] = len(self.states)
             self.states.append(closed)
             self.steps.append({})
+            self.stops.append(sorted((e, self.term[n]) for n, e in closed if self.stem[n]))
         self.steps[at][c] = to
         return to
 
     def match(self, word: str) -> tuple[int, float] | None:
         """(term, weight) of the term that the word is, or is one edit away from."""
         at = 0
-        stem = None
+        stem, like = None, []
         for c in word:
             to = self.steps[at].get(c)
             at = self.step(at, c) if to is None else to
             if at < 0:
-                return stem
-            if stem is None:
-                stem = next(((self.term[n], EXACT) for n, e in self.states[at] if e == 0 and self.stem[n]), None)
+                break
+            if self.stops[at]:
+                if stem is None:
+                    stem = next(((t, EXACT) for e, t in self.stops[at] if e == 0), None)
+                like += [t for e, t in self.stops[at] if e and len(self.names[t]) >= FUZZY_STEM]
+        near = (min(like), FUZZY_CONTINUED) if like and word not in self.clean else None
+        if at < 0:
+            return stem or near
         ends = sorted((e, self.term[n]) for n, e in self.states[at] if self.term[n] >= 0 and not self.stem[n] and (e == 0 or len(self.names[self.term[n]]) >= FUZZY_LENGTH))
         if ends and ends[0][0] == 0:
             return ends[0][1], EXACT
         if stem is not None:
             return stem
-        return (ends[0][1], FUZZY) if ends and word not in self.clean else None
+        return (ends[0][1], FUZZY) if ends and word not in self.clean else near
 
     def find(self, words: list[str]) -> list[tuple[int, int, float]]:
         """(position, term, weight) of each hit."""
@@ -174,8 +180,8 @@ class Model:
 
 def terms_of(text: str) -> set[str]:
     """Words and, with a mark, their stems."""
-    words = {w for w in TOKEN.findall((text or "").lower()) if len(w) <= 40}
-    return {w for w in words if len(w) >= 4} | {w[:k] + "-" for w in words for k in STEMS if len(w) > k}
+    words = set(TOKEN.findall((text or "").lower()))
+    return words | {w[:k] + "-" for w in words for k in STEMS if len(w) > k}
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,24 +202,32 @@ def cover(docs: list[list[str]], clean: dict[str, float], times: int = 3, least:
     ``clean`` is each candidate's share of the clean documents.  What a term is worth counts only the documents that
     still need one, so that a stem which is common in clean text doesn't ride along with a term that begins like it.
     """
-    holders: dict[str, set[int]] = defaultdict(set)
+    docs = [[t for t in ts if t in clean] for ts in docs]
+    count = Counter(t for ts in docs for t in ts)
+    holders: dict[str, list[int]] = defaultdict(list)
     for i, ts in enumerate(docs):
         for t in ts:
-            holders[t].add(i)
-    need, out = dict.fromkeys(range(len(docs)), times), {}
-    lift = lambda t: len(holders[t]) / len(docs) / clean[t]
-    while len(out) < MAX_TERMS:
-        holders = {t: h for t, h in holders.items() if len(h) >= least and lift(t) >= LEAST_LIFT}
-        if not holders:
-            break
-        term = max(holders, key=lambda t: (len(holders[t]) * math.log(lift(t)), not t.endswith("-"), len(t), t))
+            holders[t].append(i)
+    need, out = [times] * len(docs), {}
+    lift = lambda t: count[t] / len(docs) / clean[t]
+    fits = lambda t: count[t] >= least and lift(t) >= LEAST_LIFT
+    worth = lambda t: -count[t] * math.log(lift(t))
+    ranked = sorted((t for t in holders if fits(t)), key=lambda t: (not t.endswith("-"), len(t), t), reverse=True)
+    heap = [(worth(t), place, t) for place, t in enumerate(ranked)]
+    heapq.heapify(heap)
+    while heap:
+        was, place, term = heapq.heappop(heap)
+        if not fits(term):
+            continue
+        if worth(term) != was:  # others have been chosen since: what a term is worth only falls
+            heapq.heappush(heap, (worth(term), place, term))
+            continue
         out[term] = lift(term)
-        got = holders.pop(term)
-        for i in got:
+        for i in holders[term]:
             need[i] -= 1
-        full = {i for i in got if need[i] <= 0}
-        for h in holders.values():
-            h -= full
+            if need[i] == 0:
+                for t in docs[i]:
+                    count[t] -= 1
     return out
 
 
@@ -235,18 +249,21 @@ def in_training() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model | None:
-    """None if the training rows have only one label."""
+    """The lexicon and weights of at most ``max_rows`` labelled rows; None if these have only one label.
+
+    What reaches the driver are counts, words and features of those rows alone.  Defined cases: labels other than 0 and 1 and
+    null ids are left out; of two labels of a doc_id the larger counts; rows that repeat text and label count once.
+    """
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & in_training()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("text"), F.col("toxic"))
-    rows = rows.dropDuplicates(["text", "toxic"])
+    rows = staged(rows.dropDuplicates(["text", "toxic"]).orderBy(F.xxhash64("text"), "text", "toxic").limit(max_rows), "train")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return None
     terms = rows.mapInArrow(count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = (F.col("clean") + 0.5) / (totals[0] + 1)
     best = terms.filter(F.col("toxic") >= 2).withColumn("share", share).filter(F.col("toxic") / totals[1] / F.col("share") >= LEAST_LIFT)
-    best = best.orderBy(F.col("toxic").desc(), "share", "term").limit(MAX_CANDIDATES)
     shares = {r["term"]: r["share"] for r in best.collect()}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +279,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Mode
         for b in batches:
             for text in b.column(0).to_pylist():
                 for w in set(TOKEN.findall((text or "").lower())):
-                    if (hit := matcher.match(w)) and hit[1] == FUZZY:
+                    if (hit := matcher.match(w)) and hit[1] < EXACT:
                         found.add(w)
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
-    clean = rows.filter("toxic = 0").select("text").mapInArrow(variants, "word string").distinct().limit(50_000).collect()
+    clean = rows.filter("toxic = 0").select("text").mapInArrow(variants, "word string").distinct().collect()
     model.clean = frozenset(r["word"] for r in clean)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,6 +140,52 @@ def test_line_dedup_cuts_whole_later_runs(spark):
     assert got[4] == (own[5], 3) and got[5] == ("", 4) and got[6] == (None, 0) and got[7] == ("", 0)
 
 
+def plain_lines(rows, least=12):
+    """(id, positions) of the lines in runs of ``least`` words that also stand at an earlier place."""
+    places = [(i, [(p, x) for p, x in enumerate((t or "").split("\n")) if x.split()]) for i, t in sorted(set(rows), key=lambda r: r[0])]
+    gone = defaultdict(set)
+    for k, (i, x) in enumerate(places):
+        for j, y in places[: k + 1]:
+            for a in range(len(x)):
+                for b in range(len(y) if j != i else a):
+                    n = 0
+                    while a + n < len(x) and b + n < len(y) and x[a + n][1] == y[b + n][1]:
+                        n += 1
+                    if sum(len(line.split()) for _, line in x[a : a + n]) >= least:
+                        gone[i] |= {p for p, _ in x[a : a + n]}
+    return gone
+
+
+@pytest.mark.parametrize("surroundings", [0, 2, 16])
+def test_line_dedup_equals_all_pairs(spark, monkeypatch, surroundings):
+    monkeypatch.setattr(line_dedup, "SURROUNDINGS", surroundings)
+    rng = random.Random(surroundings)
+    pool = [words(rng, rng.randrange(1, 9), 5) for _ in range(14)] + ["", " "]
+    rows = []
+    for i in range(60):
+        text = [rng.choice(pool) for _ in range(rng.randrange(0, 14))]
+        if i % 3 == 0:
+            text += pool[2:7]
+        rows.append((i, "\n".join(text)))
+    rows += [rows[0], rows[3], rows[3]]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    want = plain_lines(rows)
+    assert len(got) == len(rows) and any(want.values())
+    for r in got:
+        source = dict(rows)[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for p, x in enumerate(source) if p not in want[r.doc_id]), (r.doc_id, source)
+
+
+def test_extension_decides(spark):
+    """Two pairs share the same fingerprint line: only where the run around it is long enough both ways does it go."""
+    rng = random.Random(11)
+    run = [words(rng, 5) for _ in range(9)]
+    other = [words(rng, 5) for _ in range(40)]
+    rows = [(1, "\n".join([*other[:9], *run, *other[9:18]])), (2, "\n".join([*other[18:27], *run[:8], *other[27:36]])), (3, "\n".join([*other[36:], *run]))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 45).collect()}
+    assert got == {1: 0, 2: 0, 3: 9}
+
+
 # --- 3
 
 
@@ -261,6 +307,44 @@ def test_automaton_equals_edit_distance():
             assert hit is None, w
 
 
+def test_stems_take_one_edit():
+    m = toxicity.Matcher(["idiot"], ["blight", "vequ"], frozenset(["blghted"]))
+    assert m.match("blighted") == (1, toxicity.EXACT) and m.match("blihted") == (1, toxicity.FUZZY_CONTINUED) and m.match("xblightest") == (1, toxicity.FUZZY_CONTINUED)
+    assert m.match("blghted") is None and m.match("vqu") is None and m.match("bliht") == (1, toxicity.FUZZY_CONTINUED) and m.match("idot") == (0, toxicity.FUZZY)
+
+
+def test_lexicon_choice_equals_plain_greedy():
+    rng = random.Random(6)
+    for _ in range(20):
+        docs = [[f"t{rng.randrange(60)}" + rng.choice(["", "-"]) for _ in range(rng.randrange(1, 9))] for _ in range(40)]
+        docs = [sorted(set(d)) for d in docs]
+        clean = {t: rng.choice([0.0005, 0.002, 0.01]) for d in docs for t in d}
+        holders, need, want = defaultdict(set), dict.fromkeys(range(40), 3), {}
+        for i, d in enumerate(docs):
+            for t in d:
+                holders[t].add(i)
+        while True:
+            lift = {t: len(h) / 40 / clean[t] for t, h in holders.items() if len(h) >= 2}
+            lift = {t: v for t, v in lift.items() if v >= toxicity.LEAST_LIFT and t not in want}
+            if not lift:
+                break
+            term = max(lift, key=lambda t: (len(holders[t]) * np.log(lift[t]), not t.endswith("-"), len(t), t))
+            want[term] = lift[term]
+            for i in holders[term]:
+                need[i] -= 1
+            full = {i for i in holders[term] if need[i] == 0}
+            for h in holders.values():
+                h -= full
+        assert list(toxicity.cover(docs, clean)) == list(want)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    data = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    scores = [{r.doc_id: r.score for r in toxicity.scored(d, toxicity.train(d, labels)).collect()} for d in (docs, docs.repartition(7))]
+    assert scores[0] == scores[1]
+
+
 def test_quotation_counts_less_than_abuse():
     m = toxicity.Matcher(["idiot", "loser"], [])
     abuse, quoted = toxicity.features("you are an idiot", m), toxicity.features('she said "idiot" once', m)
@@ -292,16 +376,56 @@ def test_toxicity_held_out(spark):
 # --- 6
 
 
-def test_media_round_trip(docs):
-    got = Counter(tuple(r) for r in media.media(docs).drop("feature").collect())
-    want = Counter()
+def plain_feature(data):
+    x = [b - 128 for b in data]
+    n = len(x)
+    counts = Counter(data).values()
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    parts = [x[k * n // 4 : (k + 1) * n // 4] for k in range(4)]  # a payload is a multiple of 64 bytes
+    return float(np.mean(x)) + 128, float(np.sqrt(np.mean(np.square(x)))), crossings, -sum(c / n * np.log2(c / n) for c in counts), "/".join(str(max(map(abs, p))) for p in parts)
+
+
+def check_media(docs):
+    got, want = Counter(), Counter()
+    for r in media.digests(docs).collect():
+        got[r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature] += 1
     for r in docs.collect():
         t = (r.text or "").encode()
         data = t + b"\0" * (-len(t) % 64 or (64 if not t else 0))
         wav = media.to_wav(data)
         assert media.from_wav(wav) == data
-        want[r.doc_id, len(t), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(wav), hashlib.sha256(wav).hexdigest()] += 1
-    assert got == want
+        mean, rms, crossings, entropy, peaks = plain_feature(data)
+        feature = f"mean={mean:.4f};rms={rms:.4f};zc={crossings};entropy={entropy + 0.0:.4f};peaks={peaks}".replace("entropy=-0.0000", "entropy=0.0000")
+        want[r.doc_id, len(t), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), feature] += 1
+    fixed = lambda c: Counter({(*k[:-1], k[-1].replace("entropy=-0.0000", "entropy=0.0000")): n for k, n in c.items()})
+    assert fixed(got) == want
+
+
+def test_media_round_trip(docs):
+    check_media(docs)
+    out = media.media(docs)
+    assert {"doc_id", "media", "feature"} <= set(out.columns)
+    assert Counter((r.doc_id, bytes(r.media)) for r in out.collect()) == Counter((r.doc_id, media.to_wav(media.payload((r.text or "").encode()))) for r in docs.collect())
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 8])
+def test_shared_chunks_come_from_the_store(spark, monkeypatch, bits):
+    """Passages that two, and that all, payloads share, and one that a payload repeats; with a filter that passes everything too."""
+    from lmdata.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", max(bits, 1 << 15))
+    if bits == 8:
+        monkeypatch.setattr(media, "bit_filter", lambda values, n: (8, b"\xff"))
+    monkeypatch.setattr(media, "HELD", 5000)
+    rng = random.Random(12)
+    tail, two = words(rng, 1500), words(rng, 900)
+    rows = [(i, words(rng, 40) + tail) for i in range(60)] + [(60, two + words(rng, 30)), (61, words(rng, 30) + two), (62, two * 3), (63, words(rng, 5000)), (64, tail)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    made = media.recipes(df)
+    shared = {bytes(r.digest): r.n for r in media.shared_digests(made).collect()}
+    assert max(shared.values()) >= 61 and len(shared) > 5
+    assert sum(len(r.digests) for r in made.collect()) > 65
+    check_media(df)
 
 
 def test_cuts_follow_the_content():
