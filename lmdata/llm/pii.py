@@ -32,12 +32,12 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for a base or a looser pattern to match.
-NEEDS = {"email": r"(?i)@|[\[({]at[\])}]|\sat\s\S+\sdot\s", "ip": r"[0-9]\.[0-9]+\.[0-9]|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){14}", "phone": r"\+[0-9]|[0-9][).\x20-]{1,2}[0-9]{3}[.\x20-][0-9]{4}"}
+#: What a text must hold for a base or a looser pattern of the kind to match: each pattern of the kind implies it.
+NEEDS = {"email": r"(?i)@|[\[({]at[\])}]|\sat\s\S+\sdot\s", "ip": r"[0-9]\.[0-9]+\.[0-9]|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9][).\x20-]{1,2}[0-9]{3}[.\x20-][0-9]{4}"}
 LOOSE = {
     "email": r"(?i)\b[A-Za-z0-9._%+-]{1,64}\s?[\[({]at[\])}]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[({]dot[\])}]|\sdot\s|\.)\s?[A-Za-z0-9-]{2,24})++|\b[A-Za-z0-9._%+-]{1,64}\sat\s[A-Za-z0-9-]{1,63}(?:\sdot\s[A-Za-z0-9-]{2,24})++",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])(?<![0-9][\x20-])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![\x20-]?[0-9])",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+])(?<![0-9][\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
 OCTETS = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}"
@@ -45,6 +45,7 @@ OCTETS = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4
 DOMAINS = "com|org|net|edu|gov|io|info|co|uk|de|fr|es|it|nl|eu|ch|at|be|us|ca"
 CALLING = r"\+(?:1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ISSUERS = r"(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
+NETWORKS = "[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe80"
 NOT_HOSTS = r"(?:0|127|255)\..*|.*\.0\.0\.0"
 CUES = {
     "email": "mail|e-mail|email|contact|write|courriel|correo|kontakt|schreib|écri",
@@ -52,7 +53,7 @@ CUES = {
     "card": "card|visa|mastercard|amex|carte|karte|tarjeta|payment|paid|account",
     "phone": "phone|tel|call|fax|mobile|cell|téléphone|telefon|teléfono|appel|ruf|llam",
 }
-AGAINST = r"(?:version|ver|v|isbn|section|figure|table|§|no|nr|id)[.:#]?\s*$"
+AGAINST = r"(?<![\p{L}\p{N}_])(?:version|ver|v|isbn|section|figure|table|§|no|nr|id)[.:#]?\s*$"
 
 
 def _placed(matches: Column, segs: Column) -> Column:
@@ -106,17 +107,17 @@ def _votes(kind: str, x: Column) -> list[Column]:
     yes = lambda c: F.when(c, 1).otherwise(0)
     form = {
         "email": rl(m, r"^[A-Za-z0-9]") & rl(m, r"[A-Za-z]{2,24}$") & (F.length(m) <= 320),
-        "ip": rl(m, r"^(?:[1-9][0-9]{0,2}|0)(?:\.(?:[1-9][0-9]{0,2}|0)){3}$") | m.contains(":"),
+        "ip": rl(m, r"^(?:[1-9][0-9]{0,2}|0)(?:\.(?:[1-9][0-9]{0,2}|0)){3}$") | rl(m, r"(?:^|:)[0-9A-Fa-f]{3,4}:"),
         "card": F.call_function("luhn_check", _digits(m)),
         "phone": F.length(_digits(m)).between(8, 15),
     }[kind]
     gazetteer = {
         "email": yes(rl(m, rf"(?i)[.\s\])}}](?:{DOMAINS})$")),
-        "ip": F.when(rl(m, f"^(?:{NOT_HOSTS})$"), 0).otherwise(F.when(m.contains(":"), 1).otherwise(-1)),
+        "ip": F.when(rl(m, f"^(?:{NOT_HOSTS})$"), 0).otherwise(F.when(m.contains(":"), yes(rl(m, f"(?i)^(?:{NETWORKS}):"))).otherwise(-1)),
         "card": yes(rl(m, f"^{ISSUERS}")),
         "phone": F.when(m.startswith("+"), yes(rl(m, f"^{CALLING}"))).otherwise(-1),
     }[kind]
-    cue = F.when(rl(before, AGAINST), 0).when(rl(before, rf"(?:{CUES[kind]})"), 1).otherwise(-1)
+    cue = F.when(rl(before, AGAINST), 0).when(rl(before, rf"(?<![\p{{L}}\p{{N}}_])(?:{CUES[kind]})"), 1).otherwise(-1)
     edges = F.when(rl(before, r"[\p{L}\p{N}_/\\=]$") | rl(after, r"^[\p{L}\p{N}_/\\=]"), 0).otherwise(1)
     return [yes(form), gazetteer, cue, edges]
 

@@ -29,13 +29,15 @@ NEEDS = {"assign": (r"(password|passwd|secret|token|api_?key)[\"']? *[:=]", True
 CANDIDATE = re.compile(r"(?a)[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Least entropy in bits of the most random window, by character class; 20 characters reach at most 3.32, 4, 4.32 bits.
-LIMITS = {"digits": 9.0, "hex": 3.1, "base32": 3.6, "base64": 3.8}
+LIMITS = {"digits": 2.9, "hex": 3.1, "base32": 3.6, "base64": 3.8}
 CLASSES = (("digits", re.compile(r"[0-9]+\Z")), ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")), ("base32", re.compile(r"[A-Z2-7=]+\Z")), ("base64", re.compile(r"(?s).*")))
-#: Public by their form: identifiers, paths, words joined by signs, placeholders, digests that are named as such.
+#: What can be read: words of lower or upper case or CamelCase, with a number after them.
+_WORD = r"(?:[A-Z]*[a-z]{2,}|[A-Z]{2,}|[A-Za-z](?![A-Za-z]))+[0-9]{0,4}"
+#: Public by their form: identifiers, paths and names made of words, placeholders, digests that are named as such.  A string of
+#: lower-case letters alone, or of upper-case ones, is always a word: keys without digits and of one case are out of reach.
 ALLOWED = tuple(map(re.compile, (
     r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z",
-    r"(?:[A-Za-z]+[/_=+-]+)*[A-Za-z]+[/_=+-]*[0-9]{0,4}\Z",
-    r"/?(?:[\w-]{1,18}/){2,}[\w-]*\Z",
+    rf"[/_=+-]*(?:(?:{_WORD}|[0-9]{{1,4}})[/_=+-]+)*{_WORD}[/_=+-]*\Z",
     r"(?i).*(?:example|sample|placeholder|xxxx|your[_-]?)",
     r"[-=_+/]+\Z",
 )))
@@ -62,7 +64,7 @@ def is_random(s: str, before: str = "") -> bool:
     if any(a.match(s) for a in ALLOWED) or ALLOWED_BEFORE.search(before):
         return False
     kind = next(k for k, p in CLASSES if p.match(s))
-    if kind == "base64" and not (re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s)):
+    if kind == "base64" and not (re.search(r"[A-Za-z]", s) and (re.search(r"[0-9]", s) or re.search(r"[a-z]", s) and re.search(r"[A-Z]", s))):
         return False
     return max_entropy(s) >= LIMITS[kind]
 

@@ -590,6 +590,55 @@ def test_em_tells_good_labelers_from_bad():
     assert rate["email", "form"][0] - rate["email", "form"][1] > 0.7 > 0.4 > rate["email", "before"][0] - rate["email", "before"][1]
 
 
+def test_added_spans_on_planted_candidates(spark):
+    """True and false looser candidates of each kind, among base ones: which the classifier accepts, by kind."""
+    rng = random.Random(21)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def amex():
+        body = rng.choice(["34", "37"]) + num(12)
+        return next(body + d for d in "0123456789" if luhn(body + d))
+
+    def failing(n):
+        while luhn(x := rng.choice("123456789") + num(n - 1)):
+            pass
+        return x
+
+    name = lambda: rng.choice(["ann", "bob", "zoe.k", "li_w"])
+    true = {
+        "email": lambda: f"mail me: {name()} [at] site{num(1)} [dot] com today",
+        "ip": lambda: "host 2001:" + ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(7)) + " is up",
+        "card": lambda: f"amex card {amex()} expires",
+        "phone": lambda: f"call me at ({num(3)}) {num(3)}-{num(4)} please",
+    }
+    false = {
+        "email": lambda: f"version{rng.choice('/=_')}x{num(2)}(at)q{num(3)} . zz9/{num(2)}",
+        "ip": lambda: "id x/" + ":".join(f"{rng.randrange(16):x}" for _ in range(8)) + "=z",
+        "card": lambda: f"isbn {failing(13)} printed",
+        "phone": lambda: f"section {num(3)}.{num(3)}.{num(4)}/a",
+    }
+    base = ["mail ann@site.com", "host 10.1.2.3 up", "card 4111111111111111 ok", "call +1 (017) 555-7713"]
+    rows, kind_of = [], {}
+    for k in pii.KINDS:
+        for made, good in ((true, True), (false, False)):
+            for _ in range(40):
+                kind_of[len(rows)] = (k, good)
+                rows.append(made[k]())
+    rows += base * 40
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for k in pii.KINDS:
+        caught = [bool(got[i]) for i, (kind, good) in kind_of.items() if kind == k and good]
+        wrong = [k in got[i] for i, (kind, good) in kind_of.items() if kind == k and not good]
+        assert sum(caught) >= 0.9 * len(caught), (k, sum(caught))
+        assert sum(wrong) <= 0.1 * len(wrong), (k, sum(wrong))
+
+
+def test_cues_stand_alone(spark):
+    rows = [(1, "i paid 378282246310005 once"), (2, "isbn 378282246310005 once"), (3, "juno 378282246310005 once")]
+    votes = {r.doc_id: r.c_card[0].before for r in pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert votes == {1: 1, 2: 0, 3: -1}
+
+
 def test_prefix_sums_over_blocks(spark):
     text = "é " + " ".join(f"u{i}@h{i % 7}.org" for i in range(700))
     r = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -626,7 +675,25 @@ def test_entropy_by_counts_equals_entropy():
         assert secrets.max_entropy(s) == pytest.approx(want, abs=1e-9)
 
 
+def test_new_spans_by_class():
+    """Random keys of every class are found where no fixed pattern is; what reads as words, paths or dates is not."""
+    rng = random.Random(9)
+    alphabets = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "digits": "0123456789"}
+    least = {"base64": 0.99, "letters": 0.99, "HEX": 0.95, "base32": 0.95, "digits": 0.9}
+    for name, signs in alphabets.items():
+        found = 0
+        for _ in range(400):
+            text = "é use " + (s := "".join(rng.choice(signs) for _ in range(40))) + " now"
+            found += (6, 3, 6 + len(s)) in secrets.spans(text)
+        assert found >= least[name] * 400, (name, found)
+    slashed = sum(secrets.is_random("".join(rng.choice(alphabets["base64"] + "/" * 6) for _ in range(40))) for _ in range(1000))
+    assert slashed > 970
+
+
 def test_allow_list():
+    for s in ("usr/share/doc/packages/readme-2024", "getHTTPResponseCodeFromServer", "SOME_LONG_CONSTANT_NAME_42", "path/to/some/2024/01/file_name", "qwertyuiopasdfghjklzxcvbnm"):
+        assert not secrets.is_random(s), s
+    assert secrets.is_random("u35bmu/YvnR17w4RF/pUfk6nWM1xvs3M94iJgce3")
     assert secrets.is_random("kJ8sN2qLx0Zr7VbT4mYw1PdC")
     assert not secrets.is_random("kJ8sN2qLx0Zr7VbT4mYw1PdC", "sha256: ")
     for s in ("123e4567-e89b-12d3-a456-426614174000", "some_long_identifier_name", "aaaaaaaaaaaaaaaaaaaaaaaa", "EXAMPLEkJ8sN2qLx0Zr7VbT4", "usr/local/lib/python3/site-packages"):
