@@ -1,4 +1,8 @@
-"""A corpus pipeline of five operators: toxicity, line dedup, SimHash near-dedup, mixing and packing."""
+"""A corpus pipeline of five operators: toxicity, line dedup, SimHash near-dedup, mixing and packing.
+
+Defined cases, for every stage: nulls in any column, empty and very long texts, repeated rows and columns with clashing names are taken as
+the stage's operator states; an empty table stays empty.  The documents' columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
