@@ -18,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode, where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="lmdata-")
         shared_dir.own = named
     return named.rstrip("/")
@@ -96,6 +98,21 @@ def parts_of(text: DataFrame) -> int:
     return max(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
 
 
+def part_keys(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each of ``parts`` parts, such that a shuffle by it into as many partitions puts one part in each."""
+    slot = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("slot")
+    found, tried = {}, 0
+    while len(found) < parts:
+        rows = spark.range(tried, tried + 16 * parts).select("id", slot).groupBy("slot").agg(F.min("id").alias("id")).collect()  # a row per part
+        found = {r["slot"]: r["id"] for r in rows} | found
+        tried += 16 * parts
+    return [found[i] for i in range(parts)]
+
+
+def numbered_parts(parts: int | list[int]) -> list[int]:
+    return list(range(parts)) if isinstance(parts, int) else list(parts)
+
+
 #: A key is hot if more rows than this, and than one in MOST_HOT of all, have it: there are at most MOST_HOT such keys.
 HOT, MOST_HOT = 64, 10_000
 

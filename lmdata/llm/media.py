@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import bit_filter, documents, parts_of, staged
+from lmdata.llm.common import bit_filter, documents, part_keys, parts_of, staged
 
 BLOCK = 64
 SAMPLE_RATE = 8000
@@ -105,8 +105,8 @@ def chunks(data: bytes) -> tuple[list[int], list[bytes]]:
     return ends, [hashlib.blake2b(data[s:e], digest_size=DIGEST).digest() for s, e in zip([0, *ends], ends, strict=False)]
 
 
-def part_of(key: bytes, parts: int) -> int:
-    return int.from_bytes(key[:4], "big") % parts
+def part_of(key: bytes, parts: list[int]) -> int:
+    return parts[int.from_bytes(key[:4], "big") % len(parts)]
 
 
 def _shared(digests: list[bytes], bits: int, table: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([d for _, d in out], pa.list_(pa.binary()))], names=["key", "digests"])
 
 
-def send(parts: int, bits: int, filled: bytes):
+def send(parts: list[int], bits: int, filled: bytes):
     """Rows (key, text) to messages (p, key, z): a payload's own chunks to its part, shared chunks, without a key, to the store's."""
     schema = pa.schema([("p", pa.int32()), ("key", pa.binary()), ("z", pa.binary())])
 
@@ -175,7 +175,7 @@ def send(parts: int, bits: int, filled: bytes):
     return run
 
 
-def ask(parts: int, bits: int, filled: bytes):
+def ask(parts: list[int], bits: int, filled: bytes):
     """Rows (key, digests) to (p, digest, to): which part of the store has to send what to which part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +255,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def restored(docs: DataFrame) -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, feature, media) of each different payload, read back from chunks."""
     rows = _keyed(docs)
-    parts = parts_of(rows.select("text"))
+    parts = part_keys(docs.sparkSession, parts_of(rows.select("text")))
+    dealt = lambda df: df.repartition(len(parts), "p")
     made = staged(recipes(docs), "recipes")
     shared = staged(shared_digests(made), "shared")
     bits, table = bit_filter(shared.select(F.conv(F.hex(F.substring("digest", 5, 4)), 16, 10).cast("long").alias("at")), shared.count())
-    sent = rows.mapInArrow(send(parts, bits, table), "p int, key binary, z binary")
-    asked = made.mapInArrow(ask(parts, bits, table), "p int, digest binary, to int").distinct()
-    given = sent.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(give, "p int, z binary")
+    sent = dealt(rows.mapInArrow(send(parts, bits, table), "p int, key binary, z binary"))
+    asked = dealt(made.mapInArrow(ask(parts, bits, table), "p int, digest binary, to int").distinct())
+    given = dealt(sent.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(give, "p int, z binary"))
     kinds = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, media binary"
     return sent.groupBy("p").cogroup(given.groupBy("p")).applyInArrow(rebuild, kinds)
 

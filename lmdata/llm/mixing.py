@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import WORD, boxed, documents, unboxed, with_rank
+from lmdata.llm.common import WORD, boxed, documents, staged, unboxed, with_rank
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float
     0 and no copies; a null doc_id is a document like any other; repeated rows are sampled one by one; an empty table
     gives an empty result; columns other than doc_id, text and source are not read.
     """
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    sized = staged(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
     sized = sized.withColumn("_place", F.floor(F.col("size") / SIZE_STEP) * PIECES + F.coalesce(F.pmod(F.col("doc_id"), F.lit(PIECES)), F.lit(0)))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, max_repeats)
     ranked = with_rank(sized, ["source"], "_place", [F.col("size"), F.col("doc_id").asc_nulls_last()], "_rank", carry=goals)
@@ -61,7 +61,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it.  Rows of one doc_id share their copies in turn."""
+    """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it.
+
+    Defined cases: those of ``mix``; rows that tie in doc_id, source and size share their copies in turn, by text; documents
+    without words are taken like others of their source, or not at all if it has none; all columns pass through, whatever their names.
+    """
     taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "rows")
     own = docs.select(boxed(docs), words(F.col("text")).alias("_words"))

@@ -22,7 +22,8 @@ from lmdata.llm.common import documents, staged, with_rank
 
 CAPACITY = 2048
 END_ID = 0
-PIECES = 64
+#: Pieces of a length are ranked in blocks: at least this many, and none with many more rows than the second.
+PIECES, BLOCK_ROWS = 64, 1 << 20
 
 
 def tokenizer_path() -> str:
@@ -193,8 +194,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     pieces = docs.select("doc_id", "text").mapInArrow(token_pieces(tokenizer or tokenizer_path(), capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = staged(pieces, "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    blocks = max(PIECES, max(histogram.values(), default=0) // BLOCK_ROWS)
     placed = F.broadcast(spark.createDataFrame(slots(plan(histogram, capacity)), "s_length long, lo long, hi long, per long, place long, bin long"))
-    ranked = with_rank(pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PIECES))), ["length"], "_part", [F.col("doc_id").asc_nulls_last(), F.col("piece")], "_rank")
+    ranked = with_rank(pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks))), ["length"], "_part", [F.col("doc_id").asc_nulls_last(), F.col("piece")], "_rank")
     there = (F.col("length") == F.col("s_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))
     nth = F.col("_rank") - F.col("lo")
     return ranked.join(placed, there).select(

@@ -32,13 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID, documents
+from lmdata.llm.common import NULL_ID, documents, numbered_parts, part_keys, parts_of
 
 LEAST = 50
 ANCHOR = 24
 #: An anchor in more texts than this sends single windows.
 HOT = 2000
-#: Texts have a part for each shuffle partition, and as many groups of this many shards judge their anchors and contexts.
+#: Texts are dealt to parts, and as many groups of this many shards judge their anchors and contexts.
 SHARDS_EACH = 4
 BATCH_BYTES = 2 << 20
 BASE, MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0x94D049BB133111EB
@@ -229,9 +229,10 @@ def _batches(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int
             start, held = i + 1, 0
 
 
-def send_anchors(parts: int, least: int):
+def send_anchors(parts: int | list[int], least: int):
     """Rows (cls, text) to messages: to each group the anchors that its shards have to count, with their texts' classes."""
-    shards = SHARDS_EACH * parts
+    keys = numbered_parts(parts)
+    shards = SHARDS_EACH * len(keys)
 
     def flush(classes: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
         text, h = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -245,7 +246,7 @@ def send_anchors(parts: int, least: int):
         for end in ends.tolist():
             used, local = np.unique(text[start:end], return_inverse=True)
             s = int(shard[start])
-            rows[s % parts].append((s, known[used], local.astype(np.uint16 if len(used) < 65536 else np.uint32), _pack_sorted(h[start:end])))
+            rows[keys[s % len(keys)]].append((s, known[used], local.astype(np.uint16 if len(used) < 65536 else np.uint32), _pack_sorted(h[start:end])))
             start = end
         return _sent([(g, _pack(*found)) for g, found in rows.items()])
 
@@ -273,8 +274,9 @@ def send_anchors(parts: int, least: int):
     return run
 
 
-def count_anchors(parts: int):
+def count_anchors(parts: int | list[int]):
     """One group's messages to messages: to each part the anchors of its texts that several texts hold, and which of them are hot."""
+    keys = numbered_parts(parts)
 
     def repeated(messages: list[tuple]) -> Iterator[tuple[int, tuple]]:
         h = np.concatenate([_unpack_sorted(planes) for _, _, planes in messages])
@@ -287,13 +289,13 @@ def count_anchors(parts: int):
         n = np.diff(np.r_[starts, len(h)])
         n = np.repeat(n, n)
         h, c, hot = h[n > 1], c[n > 1], (n > HOT)[n > 1]
-        part = c % parts
+        part = c % len(keys)
         order = np.lexsort((h, part))
         part, h, hot = part[order], h[order], hot[order]
         for p in np.unique(part).tolist():
             lo, hi = np.searchsorted(part, [p, p + 1])
             u, at = np.unique(h[lo:hi], return_index=True)
-            yield p, (_pack_sorted(u), np.packbits(hot[lo:hi][at]))
+            yield keys[p], (_pack_sorted(u), np.packbits(hot[lo:hi][at]))
 
     def run(table):
         shards, rows = defaultdict(list), defaultdict(list)
@@ -308,8 +310,9 @@ def count_anchors(parts: int):
     return run
 
 
-def send_texts(parts: int):
+def send_texts(parts: int | list[int]):
     """Rows (cls, id, text) to rows (p, cls, id, z): a class once per task, with its smallest id."""
+    keys = numbered_parts(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, int] = {}
@@ -325,7 +328,7 @@ def send_texts(parts: int):
                     texts.append(None)
                     ids.append(i)
                 least[cls] = min(i, least.get(cls, i))
-            ps = [int.from_bytes(c[:8], "little", signed=True) % parts for c in names]
+            ps = [keys[int.from_bytes(c[:8], "little", signed=True) % len(keys)] for c in names]
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(names, pa.binary()), pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["p", "cls", "id", "z"])
 
     return run
@@ -385,11 +388,13 @@ class Part:
         return whole, text, lo, hi, shard
 
 
-def send_contexts(parts: int, least: int):
+def send_contexts(parts: int | list[int], least: int):
     """A part's texts and the repeated anchors to messages: to each group, by shard, the part's different contexts, sorted, with their smallest ids."""
 
+    keys = numbered_parts(parts)
+
     def run(key, rows, news):
-        part = Part(rows, news, parts, least)
+        part = Part(rows, news, len(keys), least)
         found: dict[int, dict[bytes, int]] = defaultdict(dict)
         for start, _, whole, text, lo, hi, shard in part.batches():
             for t, a, b, s in zip(text.tolist(), lo.tolist(), hi.tolist(), shard.tolist(), strict=True):
@@ -398,7 +403,7 @@ def send_contexts(parts: int, least: int):
                     own[c] = i
         out = defaultdict(list)
         for s in sorted(found):
-            out[s % parts].append((s, *_listed(found.pop(s))))
+            out[keys[s % len(keys)]].append((s, *_listed(found.pop(s))))
         me = key[0].as_py()
         return _sent([(g, _pack(me, *lists)) for g, lists in out.items()])
 
@@ -438,12 +443,16 @@ def judge_contexts(least: int):
     return run
 
 
-def cut_texts(parts: int, least: int):
+RESULT = ("cls", "first", "n_removed", "n_spans", "kept_sha256")
+
+
+def cut_texts(parts: int | list[int], least: int, whole_texts: bool = False):
     """A part's texts, the repeated anchors and the shards' answers to a row per class: what is cut and what stays."""
+    n_parts = len(numbered_parts(parts))
 
     def run(rows, told):
         first = told.column("kind").to_numpy(zero_copy_only=False) == 0
-        part = Part(rows, told.filter(pa.array(first)), parts, least)
+        part = Part(rows, told.filter(pa.array(first)), n_parts, least)
         numbers: dict[int, dict[bytes, int]] = defaultdict(dict)
         batches = []
         for start, texts, whole, text, lo, hi, shard in part.batches():
@@ -483,17 +492,23 @@ def cut_texts(parts: int, least: int):
                 g = gone[at : at + len(t)]
                 kept = t if not g.any() else data[at : at + len(t)][~g].tobytes()
                 spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if len(g) else 0
-                out.append((part.classes[start + k], part.ids[start + k], int(g.sum()), spans, hashlib.sha256(kept).hexdigest()))
+                row = (part.classes[start + k], part.ids[start + k], int(g.sum()), spans, hashlib.sha256(kept).hexdigest())
+                if whole_texts:
+                    edges = np.flatnonzero(np.diff(np.r_[False, g, False]))
+                    row += ([{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()], kept)
+                out.append(row)
                 at += len(t)
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cls", "first", "n_removed", "n_spans", "kept_sha256"])
+        types = dict(zip(RESULT, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))
+        if whole_texts:
+            types |= {"spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
+        columns = list(zip(*out, strict=True)) or [()] * len(types)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def remove_repeats(docs: DataFrame, least: int = LEAST, whole_texts: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``whole_texts`` also spans, what was cut, and kept, the bytes that are left.
 
     A byte goes if a string of ``least`` bytes that covers it also starts in a document of a smaller doc_id.  Defined cases:
     a null text is empty; texts shorter than ``least`` bytes lose nothing; a null doc_id sorts after every other; documents of
@@ -502,15 +517,17 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     if not ANCHOR < least <= 80:
         raise ValueError("least: 25 to 80 bytes")
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(text, 256)).alias("cls"), text.alias("text"))
-    counted = rows.select("cls", "text").mapInArrow(send_anchors(parts, least), MESSAGE).groupBy("p").applyInArrow(count_anchors(parts), MESSAGE)
-    texts = rows.mapInArrow(send_texts(parts), "p int, cls binary, id long, z binary")
-    contexts = texts.groupBy("p").cogroup(counted.groupBy("p")).applyInArrow(send_contexts(parts, least), MESSAGE)
-    answers = contexts.groupBy("p").applyInArrow(judge_contexts(least), MESSAGE)
-    told = counted.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    found = texts.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(cut_texts(parts, least), "cls binary, first long, n_removed long, n_spans long, kept_sha256 string")
+    parts = part_keys(spark, parts_of(rows.select("text")))
+    dealt = lambda df: df.repartition(len(parts), "p")
+    counted = dealt(rows.select("cls", "text").mapInArrow(send_anchors(parts, least), MESSAGE)).groupBy("p").applyInArrow(count_anchors(parts), MESSAGE)
+    texts = dealt(rows.mapInArrow(send_texts(parts), "p int, cls binary, id long, z binary"))
+    contexts = texts.groupBy("p").cogroup(dealt(counted).groupBy("p")).applyInArrow(send_contexts(parts, least), MESSAGE)
+    answers = dealt(contexts).groupBy("p").applyInArrow(judge_contexts(least), MESSAGE)
+    told = dealt(counted.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1))))
+    more = ", spans array<struct<start:long,end:long>>, kept binary" if whole_texts else ""
+    found = texts.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(cut_texts(parts, least, whole_texts), "cls binary, first long, n_removed long, n_spans long, kept_sha256 string" + more)
     keys = rows.select("id", F.col("cls").alias("_cls"), F.octet_length("text").cast("long").alias("n_bytes"))
     out = keys.join(found, F.col("cls") == F.col("_cls"))
     copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= least)
@@ -519,6 +536,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        *([
+            F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.col("spans")).alias("spans"),
+            F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        ] if whole_texts else []),
     )
 
 

@@ -698,3 +698,20 @@ def test_allow_list():
     assert not secrets.is_random("kJ8sN2qLx0Zr7VbT4mYw1PdC", "sha256: ")
     for s in ("123e4567-e89b-12d3-a456-426614174000", "some_long_identifier_name", "aaaaaaaaaaaaaaaaaaaaaaaa", "EXAMPLEkJ8sN2qLx0Zr7VbT4", "usr/local/lib/python3/site-packages"):
         assert not secrets.is_random(s), s
+
+
+def test_repeats_give_texts_and_spans(docs):
+    by = {r.doc_id: (r.text or "").encode() for r in docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()}
+    for r in repeats.remove_repeats(docs, whole_texts=True).filter("doc_id IS NOT NULL").collect():
+        t = by[r.doc_id]
+        kept = b"".join(t[a:b] for a, b in zip([0, *(s.end for s in r.spans)], [*(s.start for s in r.spans), len(t)], strict=True))
+        assert kept == bytes(r.kept) and hashlib.sha256(kept).hexdigest() == r.kept_sha256 and r.n_spans == len(r.spans) and r.n_removed == len(t) - len(kept)
+
+
+def test_parts_get_a_partition_each(spark):
+    from lmdata.llm import common
+
+    for n in (1, 7, 50):
+        keys = common.part_keys(spark, n)
+        df = spark.createDataFrame([(k,) for k in keys], "p int").repartition(n, "p").select(F.spark_partition_id().alias("at"))
+        assert df.distinct().count() == n == len(set(keys))
