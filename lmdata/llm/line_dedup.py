@@ -105,7 +105,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
     # Different ones of a fingerprint: each is extended against those before it.
     first = around.join(firsts.select("mark", "k1", "k2", F.col("origin.id").alias("id"), F.col("origin.body").alias("body"), F.col("origin.p").alias("p")), [*key, "id", "body", "p"], "left_semi")
-    several = staged(first.join(kinds.filter("kinds > 1"), "mark").select("mark", "kinds", "id", "body", "p", "c", "run"), "different")
+    several = staged(joined_with(first, kinds.filter("kinds > 1").withColumn("n", F.col("kinds")), ["mark"], total).select("mark", "kinds", "id", "body", "p", "c", "run"), "different")
     few = several.filter(F.col("kinds") <= SURROUNDINGS).groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("id", "body", "p", "c", "run"))).alias("all"))  # at most SURROUNDINGS
     later = few.select("all", F.posexplode("all").alias("k", "x")).filter("k > 0")
     extended = later.select("x.id", "x.body", F.explode(F.array_distinct(F.flatten(F.transform(F.slice("all", F.lit(1), F.col("k")), lambda y: _extended(F.col("x"), y, least_words))))).alias("pos"))

@@ -6,8 +6,8 @@ with a similarity of 0.8 have one in common.  (Common shingles come last in that
 decides only the cost.)  Within these the fingerprints are compared exactly, tile against tile, and what is within the
 radius is verified on the whole sets.
 
-A group of near copies is compared in two turns.  First each text of a large group is linked with the first one it is near to.
-Then only texts that are still in different components are compared, all of them, so that no link between components
+A group of near copies is compared in two turns.  First each text of a large group is held against the one whose fingerprint is
+nearest, and against the most central of those within the radius, which for copies of one original is the original.  Then only texts that are still in different components are compared, all of them, so that no link between components
 is lost and a group of thousands costs a few verifications a text.
 """
 
@@ -27,8 +27,8 @@ from lmdata.llm.simhash import TILE, majority, near_pairs
 
 SHINGLE, SEED = 5, 42
 #: A fingerprint has 256 bits.  Of sets with a similarity of 0.8, 39 differ, with a deviation of 5.8; beyond the radius are
-#: fewer than one pair in 10^9.  Sets of fewer than SMALL shingles, whose bits vary more, are compared without it.
-BITS, RADIUS, SMALL = 256, 76, 32
+#: fewer than one pair in 10^7.  Sets of fewer than SMALL shingles, whose bits vary more, are compared without it.
+BITS, RADIUS, SMALL = 256, 70, 32
 PARTS = BITS // 64
 MIXERS = tuple(np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(PARTS))
 #: Groups of so many texts give all their pairs in the first turn.
@@ -182,13 +182,13 @@ def deal_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def match(first: bool, group: int = GROUP):
     """Rows (key, part, node, label, n, the fingerprint's parts) of whole parts to pairs (a, b), a < b, and to rows (key, node).
 
-    In the first turn small groups give all their pairs, and large ones of each text the pair with the first it is near to; the
-    rows (key, node) are those of large groups.  In the second all pairs of texts with different labels are given.
+    In the first turn small groups give all their pairs, and large ones of each text the pairs with
+    the nearest and the most central; the rows (key, node) are those of large groups.  In the second all pairs of texts with different labels are given.
     """
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "key", "node")])
 
     def sent(a, b, key, node) -> pa.RecordBatch:
-        both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), dtype=np.int64)
+        both = np.stack([a, b])
         none, blank = pa.nulls(len(key), pa.int64()), pa.nulls(both.shape[1], pa.int64())
         return pa.table([pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x, y]) for x, y in ((pa.array(both[0]), none), (pa.array(both[1]), none), (blank, pa.array(key)), (blank, pa.array(node)))], schema=schema).combine_chunks().to_batches()[0]
 
@@ -217,15 +217,17 @@ def match(first: bool, group: int = GROUP):
                 pairs_b.append(node[i + off])
         for g in np.flatnonzero(~small):
             s, e = starts[g], starts[g] + sizes[g]
-            nearest = np.full(sizes[g], -1)
-            for i, j in near_pairs(fp[s:e], np.where(n[s:e] < SMALL, BITS, RADIUS)):
+            size = int(sizes[g])
+            nearest = np.full(size, BITS * size)  # bits that differ, and which of the group
+            close = np.zeros(size, dtype=np.int64)  # how many are near to each, and how near
+            for i, j, bits in near_pairs(fp[s:e], np.where(n[s:e] < SMALL, BITS, RADIUS)):
                 ok = alike(s + i, s + j)
-                i, j = i[ok], j[ok]
-                if first:  # the first of the nodes that each is near to
-                    best = np.full(sizes[g], sizes[g])
-                    np.minimum.at(best, j, i)
-                    hit = np.flatnonzero(best < sizes[g])
-                    nearest[hit] = np.where(nearest[hit] < 0, best[hit], np.minimum(nearest[hit], best[hit]))
+                i, j, bits = i[ok], j[ok], bits[ok]
+                if first:
+                    np.minimum.at(nearest, j, bits * size + i)
+                    np.minimum.at(nearest, i, bits * size + j)
+                    for x in (i, j):
+                        close += np.bincount(x, weights=BITS - bits, minlength=size).astype(np.int64)
                 else:
                     pairs_a.append(node[s + i])
                     pairs_b.append(node[s + j])
@@ -234,10 +236,18 @@ def match(first: bool, group: int = GROUP):
                         yield sent(np.concatenate(pairs_a), np.concatenate(pairs_b), key[:0], node[:0])
                         pairs_a, pairs_b, held = [], [], 0
             if first:
-                j = np.flatnonzero(nearest >= 0)
-                pairs_a.append(node[s + nearest[j]])
-                pairs_b.append(node[s + j])
-                used = np.unique(np.r_[j, nearest[j]])
+                used = np.flatnonzero(nearest < BITS * size)
+                pairs_a.append(node[s + nearest[used] % size])
+                pairs_b.append(node[s + used])
+                place = np.empty(size, dtype=np.int64)  # the most central first
+                place[np.lexsort((node[s:e], -close))] = np.arange(size)
+                central = np.full(size, size)
+                for i, j, _ in near_pairs(fp[s:e], np.where(n[s:e] < SMALL, BITS, RADIUS)):
+                    ok = alike(s + i, s + j)
+                    np.minimum.at(central, i[ok], place[j[ok]])
+                    np.minimum.at(central, j[ok], place[i[ok]])
+                pairs_a.append(node[s + np.argsort(place)[central[used]]])
+                pairs_b.append(node[s + used])
                 open_keys.append(key[s + used])
                 open_nodes.append(node[s + used])
         some = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)

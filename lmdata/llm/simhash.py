@@ -80,8 +80,8 @@ def linked(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def near_pairs(prints: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of wide fingerprints (a row of 64-bit parts each) within the radius of either, a pair of tiles at a time.
+def near_pairs(prints: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs i < j, and how many bits differ, of wide fingerprints (a row of 64-bit parts each) within the radius of either, a pair of tiles at a time.
 
     Tiles hold fingerprints of like population count; pairs of tiles are skipped if their counts differ by more than the radius.
     """
@@ -98,10 +98,11 @@ def near_pairs(prints: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndar
             for k in range(prints.shape[1]):
                 differ += np.bitwise_count(a[:, None, k] ^ c[None, :, k])
             x, y = np.nonzero(differ <= np.maximum(most[:, None], radius[None, j : j + STEP]))
+            bits = differ[x, y].astype(np.int64)
             x, y = order[x + i], order[y + j]
             fresh = x != y if i != j else x < y
             x, y = x[fresh], y[fresh]
-            yield np.minimum(x, y), np.maximum(x, y)
+            yield np.minimum(x, y), np.maximum(x, y), bits[fresh]
 
 
 def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
