@@ -19,6 +19,7 @@ SCORE_ANY = r"([1-5])"
 WINNER_MARK = r"^(?:获胜者|Winner):"
 THINK = r"(?s)<think>.*?</think>"
 THINK_OPEN = r"(?s)<think>.*\z"
+# The prompts.
 TEACHER_PREFIX = (
     "请回答下面这道医学单项选择题。\n"
     "要求：\n"
@@ -28,7 +29,7 @@ TEACHER_PREFIX = (
 )
 RUBRIC = "评分标准：\n5 = 答案正确, 且解释准确、专业、详尽\n4 = 答案正确, 解释合理但不够深入\n3 = 答案正确但无解释, 或答案错误但分析有一定道理\n2 = 答案错误, 解释有明显缺陷\n1 = 答案错误且无合理分析\n\n题目：\n{prompt}\n\n学生答案：\n{text}\n\n请评分。"
 PAIRWISE = (
-    "Compare these two answers for the same question.\n\nQuestion: {question}\n\nAnswer A: {answer_a}\n\nAnswer B: {answer_b}\n\n"
+    "Compare these two answers for the same question.\n\nQuestion: {question}\n\nAnswer A: {answer_a}\nAnswer B: {answer_b}\n\n"
     "Which answer is better? Rate each 1-5 on:\n1. Accuracy\n2. Completeness\n3. Clarity\n\nRespond in JSON format:\n"
     '{{"winner": "A" or "B" or "tie", "score_a": {{accuracy: N, completeness: N, clarity: N}}, "score_b": {{accuracy: N, completeness: N, clarity: N}}, "reason": "..."}}'
 )

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lmdata.functions.text import strip
 from lmdata.session import staged
 
-#: Bands and rows per band that minimise the error of 128 permutations at the two thresholds in use.
-BANDS = {0.8: (9, 13), 0.85: (8, 16)}
+PERMUTATIONS = 128
+
+
+@cache
+def bands(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
+    """Number of bands and rows in each, for the least sum of the false and the missed share, each the area on its side of the threshold."""
+    if not 0 < threshold < 1:
+        raise ValueError("0 < threshold < 1 is needed")
+
+    def error(b: int, r: int) -> float:
+        found = lambda s: 1 - (1 - s**r) ** b
+        area = lambda f, lo, hi: sum(f(lo + (hi - lo) * (i + 0.5) / 1000) for i in range(1000)) * (hi - lo) / 1000
+        return area(found, 0.0, threshold) + area(lambda s: 1 - found(s), threshold, 1.0)
+
+    return min(((b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)), key=lambda x: error(*x))
+
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: str = "seq") -> DataFrame:
@@ -33,8 +49,8 @@ def exact_text(df: DataFrame, text: str = "text", order: str = "seq") -> DataFra
 
 
 def exact_pairs(df: DataFrame, order: str = "pair_id") -> DataFrame:
-    """By prompt, chosen and rejected: one prompt with different answers is kept on purpose."""
-    return keep_first(df, [F.md5(F.concat_ws("\x1f", "prompt", "chosen", "rejected"))], order)
+    """By prompt, chosen and rejected: one prompt with different answers is kept on purpose.  A null field equals only a null one."""
+    return keep_first(df, [F.md5(c) for c in ("prompt", "chosen", "rejected")], order)
 
 
 def exact_records(df: DataFrame, order: str) -> DataFrame:
@@ -69,13 +85,17 @@ def jaccard_edges(df: DataFrame, threshold: float, text: str = "text", order: st
 
 
 def band_buckets(df: DataFrame, threshold: float, text: str = "text", order: str = "seq") -> DataFrame:
-    """Rows (doc, band, value): documents that share a band's value count as near copies; they are not verified."""
-    bands, rows_each = BANDS.get(threshold, BANDS[0.8])
+    """Rows (doc, band, value): documents that share a band's value count as near copies; they are not verified.
+
+    Signatures are made inside the row: no token leaves it.  Texts without tokens share all their bands.
+    """
+    n, each = bands(threshold)
     hashed = F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t))
-    rows = df.select(F.col(order).alias("doc"), F.explode_outer(hashed).alias("h"))  # a text without tokens has a row too
-    signed = rows.groupBy("doc").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"s{i}") for i in range(bands * rows_each)])
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"s{i}") for i in range(b * rows_each, (b + 1) * rows_each)]).alias("value")) for b in range(bands)])
-    return signed.select("doc", F.explode(keys).alias("bucket")).select("doc", "bucket.band", "bucket.value")
+    least = lambda i: F.array_min(F.transform("h", lambda x: F.xxhash64(x, i)))
+    value = lambda b: F.xxhash64(F.transform(F.sequence(b * each, (b + 1) * each - 1), least))
+    rows = df.select(F.col(order).alias("doc"), hashed.alias("h"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.struct(b.alias("band"), value(b).alias("value")))
+    return rows.select("doc", F.explode(keys).alias("bucket")).select("doc", "bucket.band", "bucket.value")
 
 
 def greedy(nodes: DataFrame, edges: DataFrame, order: str = "seq") -> DataFrame:

@@ -11,16 +11,17 @@ BUCKETS = 256
 def ordered_sum(df: DataFrame, order: str, value: Column, name: str, keys: list[str] | None = None, width: int = 4096) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows before this one, by ``order`` (a whole number), per key.
 
-    Rows are summed per block of ``width`` orders, the blocks' sums are added up, and each block's rows by themselves.
+    Rows are summed per block of ``width`` orders, the blocks' sums are added up, and each block's rows by themselves.  A null order
+    comes last.
     """
     keys = keys or []
     rows = df.withColumn("_v", value).withColumn("_block", F.floor(F.col(order) / width))
     blocks = rows.groupBy(*keys, "_block").agg(F.sum("_v").alias("_s"))
-    upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy(F.col("_block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_v").over(within), F.lit(0)))
-    same = F.col("_block") == F.col("_b")
+    same = F.col("_block").eqNullSafe(F.col("_b"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return rows.join(blocks, same).withColumn(name, F.col("_before") + F.col("_in")).select(*df.columns, name)

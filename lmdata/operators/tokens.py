@@ -21,7 +21,7 @@ def byte_ids(text: Column) -> Column:
 def decode_bytes(ids: Column) -> Column:
     """The text of byte ids; what is no UTF-8 becomes U+FFFD."""
     packed = F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 2, "0")), ""))
-    return F.decode(packed, "UTF-8")
+    return F.make_valid_utf8(packed.cast("string"))
 
 
 def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:

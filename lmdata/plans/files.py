@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lmdata.operators import clean, sweeps
 from lmdata.plans.registry import query
-from lmdata.plans.views import table
-from lmdata.session import staged
-from lmdata.sources import readers
+from lmdata.plans.views import table, view
+from lmdata.session import scratch
+from lmdata.sources import readers, sinks
 from lmdata.streaming import ingest
 
 
@@ -32,10 +32,70 @@ def a18(spark, sf_dir):
 
 @query("a3_json_roundtrip", "SELECT item_id, text FROM benchmark")
 def a3(spark, sf_dir):
-    rows = staged(table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("item_id", "text")).alias("value")), "jsonl")
-    return rows.select(F.from_json("value", "item_id bigint, text string").alias("r")).select("r.*")
+    path = scratch(spark, "jsonl")
+    sinks.write_jsonl(table(spark, sf_dir, "benchmark").select("item_id", "text"), path)
+    return readers.json_records(spark, path).select(F.from_json("value", "item_id bigint, text string").alias("r")).select("r.*")
 
 
+@query("a1_text_folder", "SELECT item_id AS pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark")
+def a1(spark, sf_dir):
+    path = scratch(spark, "lines")
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(" : "), "text").alias("text"))
+    sinks.write_lines(rows, path)
+    lines = readers.text_lines(spark, path)
+    return lines.select(F.substring_index("text", " : ", 1).cast("long").alias("pos"), F.regexp_replace("text", "^[0-9]+ : ", "").alias("text"))
+
+
+@query("a2_long_lines", "SELECT count(*) AS n FROM benchmark WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 50")
+def a2(spark, sf_dir):
+    path = scratch(spark, "lines")
+    sinks.write_lines(table(spark, sf_dir, "benchmark"), path)
+    return readers.text_lines(spark, path, readers.MIN_CORPUS_LENGTH).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b1_jsonl_roundtrip", "SELECT doc_id, text FROM documents")
+def b1(spark, sf_dir):
+    path = scratch(spark, "jsonl")
+    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return readers.jsonl(spark, path, "doc_id bigint, text string")
+
+
+@query("b5_resumed_append", "SELECT event_id, event_type FROM events")
+def b5(spark, sf_dir):
+    path, events = scratch(spark, "appended"), table(spark, sf_dir, "events").select("event_id", "event_type")
+    sinks.append_new(events.filter("event_id % 3 = 0"), path, ["event_id"])
+    sinks.append_new(events, path, ["event_id"])
+    return spark.read.schema(events.schema).parquet(path)
+
+
+@query("b7_written_split", "SELECT doc_id AS seq, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents")
+def b7(spark, sf_dir):
+    path = scratch(spark, "split")
+    sinks.write_split(view(spark, sf_dir, "v_split").select("seq", "split"), path)
+    return spark.read.schema("seq bigint, split string").json(path)
+
+
+@query("b8_written_log", "SELECT event_id AS step, CASE WHEN event_id % 10 = 0 THEN NULL ELSE round(value, 4) END AS loss, NULL::DOUBLE AS margin FROM events")
+def b8(spark, sf_dir):
+    path = scratch(spark, "log")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.when(F.col("event_id") % 10 != 0, F.round("value", 4)).alias("loss"), F.lit("x").alias("extra"))
+    sinks.write_log(rows, path, ["step", "loss", "margin"])
+    return readers.training_log(spark, path, "step bigint, loss double, margin double")
+
+
+@query("b6_written_report", "SELECT count(*) AS n, max(doc_id) AS last FROM documents")
+def b6(spark, sf_dir):
+    path = scratch(spark, "report")
+    sinks.write_report(table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")), path)
+    return readers.optional_json(spark, path, "n bigint, last bigint")
+
+
+@query("b14_written_once", "SELECT 1::BIGINT AS written, 0::BIGINT AS again, count(*) AS n FROM labels")
+def b14(spark, sf_dir):
+    path, labels = scratch(spark, "once"), table(spark, sf_dir, "labels")
+    first, again = sinks.write_once(labels, path), sinks.write_once(labels.limit(0), path)
+    return spark.read.schema(labels.schema).parquet(path).agg(F.lit(int(first)).cast("long").alias("written"), F.lit(int(again)).cast("long").alias("again"), F.count(F.lit(1)).alias("n"))
+
 
 
 @query("g9_train_minutes")

@@ -19,16 +19,14 @@ FROM u JOIN a c ON c.conv_id = u.conv_id AND c.rn = 1 JOIN a r ON r.conv_id = u.
 SELECT question_id, sample_idx, gold, letter,
        CASE WHEN event_id % 3 = 0 THEN concat('答案：', letter) ELSE concat(letter, chr(10), props) END AS text,
        letter = gold AS correct, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 5 + 1 AS INT) END AS score
-FROM (SELECT event_id, props, user_id AS question_id,
-             CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS sample_idx,
+FROM (SELECT event_id, props, user_id + 1000000 * CAST(floor((rn - 1) / 8) AS BIGINT) AS question_id, CAST((rn - 1) % 8 AS INT) AS sample_idx,
              substr('ABCDE', CAST(user_id % 5 AS INT) + 1, 1) AS gold,
              CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'B' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'D' ELSE 'E' END AS letter
-      FROM events) e
-WHERE sample_idx < 8""",
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) n) e""",
     "v_teacher": """
-SELECT DISTINCT user_id AS question_id,
-       CASE WHEN user_id % 4 = 0 THEN '' ELSE concat(substr('ABCDE', CAST(user_id % 5 AS INT) + 1, 1), chr(10), 'teacher') END AS teacher_answer
-FROM events""",
+SELECT DISTINCT question_id,
+       CASE WHEN question_id % 4 = 0 THEN '' ELSE concat(substr('ABCDE', CAST(question_id % 5 AS INT) + 1, 1), chr(10), 'teacher') END AS teacher_answer
+FROM (SELECT user_id + 1000000 * CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 8) AS BIGINT) AS question_id FROM events) e""",
     "v_mcq": """
 SELECT item_id AS question_id, text AS question,
        CASE WHEN item_id % 10 = 0 THEN 'AC' ELSE substr('ABCDE', CAST(item_id % 5 AS INT) + 1, 1) END AS answer FROM benchmark""",

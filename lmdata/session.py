@@ -18,13 +18,19 @@ def session(app: str = "lmdata", master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to and read from the folder that the cluster shares: cuts the lineage and outlives executors."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that the cluster shares; in a temporary one only in local mode, where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(staged, "own", None) or "file://" + tempfile.mkdtemp(prefix="lmdata-")
-        staged.own = folder
-    path = f"{folder.rstrip('/')}/lmdata-{what}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = getattr(scratch, "own", None) or "file://" + tempfile.mkdtemp(prefix="lmdata-")
+        scratch.own = folder
+    return f"{folder.rstrip('/')}/lmdata-{what}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to and read from the folder that the cluster shares: cuts the lineage and outlives executors."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
