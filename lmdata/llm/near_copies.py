@@ -7,7 +7,7 @@ decides only the cost.)  Within these the fingerprints are compared exactly, til
 radius is verified on the whole sets.
 
 A group of near copies is compared in two turns.  First each text of a large group is held against the one whose fingerprint is
-nearest, and against the most central of those within the radius, which for copies of one original is the original.  Then only texts that are still in different components are compared, all of them, so that no link between components
+nearest, and against the most central of those within the radius, which for copies of one original is the original.  Then only texts that are still in different components are compared, all of them, so that no link within the radius
 is lost and a group of thousands costs a few verifications a text.
 """
 
@@ -27,7 +27,7 @@ from lmdata.llm.simhash import TILE, majority, near_pairs
 
 SHINGLE, SEED = 5, 42
 #: A fingerprint has 256 bits.  Of sets with a similarity of 0.8, 39 differ, with a deviation of 5.8; beyond the radius are
-#: fewer than one pair in 10^7.  Sets of fewer than SMALL shingles, whose bits vary more, are compared without it.
+#: about two pairs in 10^7.  Sets of fewer than SMALL shingles, whose bits vary more, are compared without it.
 BITS, RADIUS, SMALL = 256, 70, 32
 PARTS = BITS // 64
 MIXERS = tuple(np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(PARTS))
