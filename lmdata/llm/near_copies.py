@@ -7,8 +7,11 @@ decides only the cost.)  Within these the fingerprints are compared exactly, til
 radius is verified on the whole sets.
 
 A group of near copies is compared in two turns.  First each text of a large group is held against the one whose fingerprint is
-nearest, and against the most central of those within the radius, which for copies of one original is the original.  Then only texts that are still in different components are compared, all of them, so that no link within the radius
-is lost and a group of thousands costs a few verifications a text.
+nearest, and against the most central of those within the radius, which for copies of one original is the original.  In the
+second turn only texts that are still in different components are compared, all of them, so that no link within the radius
+is lost.  What they send is a spanning forest of the pairs within the radius; the clusters that it connects are cut into tiles of
+texts with their sets, and each pair of tiles is verified where it lies and sends a forest again.  So no group's pairs are
+ever rows, however many there are.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lmdata.llm.common import NULL_ID, bit_filter, boxed, staged, unboxed
+from lmdata.llm.common import NULL_ID, bit_filter, boxed, joined_with, staged, unboxed
 from lmdata.llm.components import components
-from lmdata.llm.simhash import TILE, majority, near_pairs
+from lmdata.llm.simhash import TILE, forest, majority, near_pairs
 
 SHINGLE, SEED = 5, 42
 #: A fingerprint has 256 bits.  Of sets with a similarity of 0.8, 39 differ, with a deviation of 5.8; beyond the radius are
@@ -38,6 +41,8 @@ SOUGHT, COMMON = 8192, 65536
 STEP = 1024
 #: Rows that a task takes, and links of one text that are verified in one task.
 ROWS_EACH, LINKS_EACH, MOST_HOT = 1 << 20, 64, 10_000
+#: Shingles that a tile of a cluster holds, but for its last text, and texts that one text is verified with at once.
+TILE_SHINGLES, AT_ONCE = 1 << 17, 256
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -183,7 +188,8 @@ def match(first: bool, group: int = GROUP):
     """Rows (key, part, node, label, n, the fingerprint's parts) of whole parts to pairs (a, b), a < b, and to rows (key, node).
 
     In the first turn small groups give all their pairs, and large ones of each text the pairs with
-    the nearest and the most central; the rows (key, node) are those of large groups.  In the second all pairs of texts with different labels are given.
+    the nearest and the most central; the rows (key, node) are those of large groups.  In the second turn the pairs given connect
+    what all pairs of texts with different labels connect.
     """
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "key", "node")])
 
@@ -201,7 +207,7 @@ def match(first: bool, group: int = GROUP):
         order = np.lexsort((node, part, key))
         key, part, node, label, n, fp = key[order], part[order], node[order], label[order], n[order], fp[order]
         starts, sizes = _groups(key, part)
-        pairs_a, pairs_b, open_keys, open_nodes, held = [], [], [], [], 0
+        pairs_a, pairs_b, open_keys, open_nodes = [], [], [], []
 
         def alike(i, j):
             """Whether the sets at i and j may be near: by size, and by fingerprint unless one is small."""
@@ -220,6 +226,7 @@ def match(first: bool, group: int = GROUP):
             size = int(sizes[g])
             nearest = np.full(size, BITS * size)  # bits that differ, and which of the group
             close = np.zeros(size, dtype=np.int64)  # how many are near to each, and how near
+            root = np.arange(size)
             for i, j, bits in near_pairs(fp[s:e], np.where(n[s:e] < SMALL, BITS, RADIUS)):
                 ok = alike(s + i, s + j)
                 i, j, bits = i[ok], j[ok], bits[ok]
@@ -229,12 +236,7 @@ def match(first: bool, group: int = GROUP):
                     for x in (i, j):
                         close += np.bincount(x, weights=BITS - bits, minlength=size).astype(np.int64)
                 else:
-                    pairs_a.append(node[s + i])
-                    pairs_b.append(node[s + j])
-                    held += len(i)
-                    if held > 1 << 20:
-                        yield sent(np.concatenate(pairs_a), np.concatenate(pairs_b), key[:0], node[:0])
-                        pairs_a, pairs_b, held = [], [], 0
+                    root = forest(size, np.r_[np.arange(size), i], np.r_[root, j])
             if first:
                 used = np.flatnonzero(nearest < BITS * size)
                 pairs_a.append(node[s + nearest[used] % size])
@@ -248,8 +250,14 @@ def match(first: bool, group: int = GROUP):
                     np.minimum.at(central, j[ok], place[i[ok]])
                 pairs_a.append(node[s + np.argsort(place)[central[used]]])
                 pairs_b.append(node[s + used])
+                if size > TILE:  # a part of a key that was cut: its texts have not met those of other parts
+                    used = np.arange(size)
                 open_keys.append(key[s + used])
                 open_nodes.append(node[s + used])
+            else:
+                away = np.flatnonzero(root != np.arange(size))
+                pairs_a.append(node[s + root[away]])
+                pairs_b.append(node[s + away])
         some = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
         a, b, k, o = some(pairs_a), some(pairs_b), some(open_keys), some(open_nodes)
         if len(a) or len(k):
@@ -258,6 +266,71 @@ def match(first: bool, group: int = GROUP):
     return run
 
 
+def _links(rows: pa.Table, own: bool) -> pa.RecordBatch:
+    """A spanning forest, across labels, of the verified pairs of one pair of tiles; ``own`` if it is a tile with itself."""
+    node, label, n, tile, *prints = (rows.column(c).to_numpy() for c in ("node", "label", "n", "tile", *PRINTS))
+    fp = np.stack(prints, axis=1).view(np.uint64)
+    lists = rows.column("set").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    said, of = np.unique(label, return_inverse=True)
+    root = np.arange(len(said))
+    out: list[tuple[int, int]] = []
+    for x, y, _ in near_pairs(fp, np.where(n < SMALL, BITS, RADIUS)):
+        ok = (of[x] != of[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+        ok &= own | (tile[x] != tile[y])
+        order = np.argsort(x[ok], kind="stable")
+        x, y = x[ok][order], y[ok][order]
+        for s, size in zip(*_groups(x), strict=True):
+            one = x[s]
+            mine = flat[ends[one] : ends[one + 1]]
+            for at in range(s, s + size, AT_ONCE):
+                others = y[at : min(at + AT_ONCE, s + size)]
+                others = others[root[of[others]] != root[of[one]]]
+                if not len(others):
+                    continue
+                sets = [flat[ends[o] : ends[o + 1]] for o in others]
+                theirs = np.concatenate(sets)
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                shared = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *[len(v) for v in sets[:-1]]]))
+                for o in others[9 * shared >= 4 * (n[one] + n[others])]:
+                    if root[of[o]] != root[of[one]]:
+                        out.append((node[one], node[o]))
+                        root[root == root[of[o]]] = root[of[one]]
+    both = np.array(out, dtype=np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+
+
+def verified_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, i, j, tile, node, label, n, the fingerprint's parts, set), sorted by (cluster, i, j), to links (u, v)."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in ("cluster", "i", "j")]
+        for s, size in zip(*_groups(*keys), strict=True):
+            here = tuple(int(k[s]) for k in keys)
+            if held and here != at:
+                yield _links(pa.Table.from_batches(held), at[1] == at[2])
+                held = []
+            at = here
+            held.append(batch.slice(s, size))
+    if held:
+        yield _links(pa.Table.from_batches(held), at[1] == at[2])
+
+
+def cluster_links(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """(u, v): verified links that connect all that verified pairs of ``members`` (cluster, node, label, n, the fingerprint's parts) of one cluster connect.
+
+    A cluster is cut into tiles by its nodes' hashes, as many as its shingles ask for, and each pair of tiles goes to a task of its own.
+    """
+    rows = members.withColumnRenamed("n", "size")
+    tiles = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / TILE_SHINGLES).alias("tiles"))
+    rows = joined_with(rows, tiles, ["cluster"], rows.count()).drop("n").withColumnRenamed("size", "n")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).join(sets, "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "label", "n", *PRINTS, "set")
+    return rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verified_tiles, "u long, v long")
+
+
 def _common(texts: DataFrame) -> np.ndarray:
     """The commonest shingles of about SOUGHT texts."""
     every = max(1, texts.count() // SOUGHT)
@@ -315,8 +388,14 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = found.filter("key IS NOT NULL").select("key", "node").distinct().join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
     left = staged(rest.repartition(parts, "key").mapInArrow(deal, "key long, part long, node long, label long"), "left")
     if not left.isEmpty():
-        more = turn(left, False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = staged(verified(staged(more, "pairs"), sets), "near")
+        alike = staged(turn(left, False).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "alike")
+        own = F.coalesce("root", "node").alias("label")
+        members = components(alike).withColumnRenamed("root", "cluster").join(meta, "node").join(labels, "node", "left")
+        members = staged(members.select("cluster", "node", own, "n", *PRINTS), "members")
+        unread = members.select("node").distinct().join(nodes, "node", "left_anti")
+        if not unread.isEmpty():  # texts of keys that were cut
+            sets = sets.unionByName(_sets(texts, staged(unread, "unread")))
+        more = staged(cluster_links(members, sets, parts), "near")
         if not more.isEmpty():
             labels = components(edges.union(more))
     return known.groupBy("node").agg(F.min("id").alias("id")), labels

@@ -47,11 +47,12 @@ def stage(spark, rows):
     return sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "").collect())
 
 
-@pytest.mark.parametrize(("group", "tile"), [(2, 5), (4, 4096)])
-def test_stage_equals_brute_force(spark, monkeypatch, group, tile):
+@pytest.mark.parametrize(("group", "tile", "shingles"), [(2, 5, 100), (4, 4096, 1 << 17)])
+def test_stage_equals_brute_force(spark, monkeypatch, group, tile, shingles):
     match = near_copies.match
     monkeypatch.setattr(near_copies, "match", lambda first: match(first, group))
     monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "TILE_SHINGLES", shingles)
     assert stage(spark, texts()) == kept(texts())
 
 
@@ -71,6 +72,44 @@ def test_a_large_group_costs_few_pairs(spark, monkeypatch):
     assert stage(spark, rows) == [0] and sum(asked) < 20 * 600
 
 
+def groups_of(nodes, links):
+    root = {n: n for n in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        root[max(top(u), top(v))] = min(top(u), top(v))
+    return {n: top(n) for n in nodes}
+
+
+@pytest.mark.parametrize("shingles", [1, 900, 1 << 17])
+def test_tiles_of_clusters_equal_brute_force(spark, monkeypatch, shingles):
+    """Two clusters of sets about the threshold, some of one component before: links connect what all verified pairs do, and are a forest a task."""
+    monkeypatch.setattr(near_copies, "TILE_SHINGLES", shingles)
+    rng, rows = np.random.default_rng(5), []
+    for cluster in range(2):
+        base = rng.integers(1, 1 << 62, 80, dtype=np.uint64)
+        for i in range(30):
+            own = base.copy()
+            own[rng.choice(80, 3 + i // 3, replace=False)] = rng.integers(1, 1 << 62, 3 + i // 3, dtype=np.uint64)
+            own = np.unique(own)
+            node = 100 * cluster + i
+            rows.append((cluster, node, 100 * cluster if i < 3 else node, len(own), *np.array(near_copies.fingerprint(own), dtype=np.uint64).view(np.int64).tolist(), own))
+    fields = ", ".join(f"{f} long" for f in near_copies.PRINTS)
+    members = spark.createDataFrame([r[:-1] for r in rows], f"cluster long, node long, label long, n long, {fields}")
+    sets = spark.createDataFrame([(r[1], r[-1].view(np.int64).tolist()) for r in rows], "node long, set array<long>")
+    before = [(100 * c, 100 * c + k) for c in range(2) for k in (1, 2)]
+    want = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and 9 * len(np.intersect1d(a[-1], b[-1])) >= 4 * (a[3] + b[3])]
+    got = [(r.u, r.v) for r in near_copies.cluster_links(members, sets, 4).collect()]
+    nodes = [r[1] for r in rows]
+    assert {tuple(sorted(p)) for p in got} <= set(want)
+    assert groups_of(nodes, before + got) == groups_of(nodes, before + want) and 2 < len(set(groups_of(nodes, before + want).values())) < 60
+    assert shingles < 1 << 17 or len(got) < len(nodes)
+
+
 def test_cut_keys_give_all_pairs():
     import pyarrow as pa
 
