@@ -24,6 +24,8 @@ from lmdata.llm.common import documents, staged
 
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of the id.
 MAX_TRAIN = 12_000
+#: Tasks over which the training rows are dealt.
+TRAIN_PARTS = 24
 FOLDS, HELD_OUT = 5, 0
 STEMS = range(3, 8)
 #: A term is a candidate from this lift on (its share of toxic documents over that of clean ones), a whole hit from the other.
@@ -257,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Mode
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & in_training()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("text"), F.col("toxic"))
-    rows = staged(rows.dropDuplicates(["text", "toxic"]).orderBy(F.xxhash64("text"), "text", "toxic").limit(max_rows), "train")
+    rows = staged(rows.dropDuplicates(["text", "toxic"]).orderBy(F.xxhash64("text"), "text", "toxic").limit(max_rows).repartition(TRAIN_PARTS, "text"), "train")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return None
