@@ -390,7 +390,9 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not left.isEmpty():
         alike = staged(turn(left, False).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "alike")
         own = F.coalesce("root", "node").alias("label")
-        members = components(alike).withColumnRenamed("root", "cluster").join(meta, "node").join(labels, "node", "left")
+        found = components(alike).select("node", F.col("root").alias("cluster"))
+        found = found.union(found.select(F.col("cluster").alias("node"), "cluster").distinct())  # a root has no row of its own there
+        members = found.join(meta, "node").join(labels, "node", "left")
         members = staged(members.select("cluster", "node", own, "n", *PRINTS), "members")
         unread = members.select("node").distinct().join(nodes, "node", "left_anti")
         if not unread.isEmpty():  # texts of keys that were cut

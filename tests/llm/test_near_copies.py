@@ -72,6 +72,15 @@ def test_a_large_group_costs_few_pairs(spark, monkeypatch):
     assert stage(spark, rows) == [0] and sum(asked) < 20 * 600
 
 
+def test_second_turn_alone_links_a_whole_group(spark, monkeypatch):
+    """Nothing is linked in the first turn here, so that all links, those of a cluster's smallest node too, are the second's."""
+    words = ["w%d" % i for i in range(200)]
+    rows = [(i, " ".join([*words[: 40 * i], "x", *words[40 * i :]])) for i in range(6)]
+    verified, turns = near_copies.verified, []
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: turns.append(1) or verified(pairs, sets).limit(0))
+    assert stage(spark, rows) == [0] and turns == [1]
+
+
 def groups_of(nodes, links):
     root = {n: n for n in nodes}
 
