@@ -28,9 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of an Arrow batch; a batch of long texts would else reach Spark's 64 MB, held in several copies by a task and its Python worker.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """The session, after its Python workers can import this package even where it is not installed: sent once, as a zip file."""
+    """The session, after its Python workers can import this package even where it is not installed: sent once, as a zip file.
+
+    Batches for them are held to BATCH_BYTES, unless the application's configuration names a size.
+    """
     context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if not context.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if not getattr(context, "_lmdata_shipped", False) and root.is_dir():
         target = Path(tempfile.mkdtemp(prefix="lmdata-")) / "lmdata.zip"
         with zipfile.ZipFile(target, "w") as z:
