@@ -6,8 +6,10 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lmdata.functions.text import strip
+from lmdata.operators import near_sets
 from lmdata.session import staged
 
 PERMUTATIONS = 128
@@ -64,24 +66,25 @@ def tokens(text: Column) -> Column:
 
 
 def jaccard_edges(df: DataFrame, threshold: float, text: str = "text", order: str = "seq") -> DataFrame:
-    """Pairs (a, b, jaccard), a before b, with at least ``threshold`` of their token sets in common.
+    """Pairs (a, b, jaccard), a before b, with at least ``threshold`` of their token sets in common: all of them, exactly.
 
-    Prefix filter: sets that are so alike share one of their rarest tokens, so only those are joined.  Tokens are
-    compared by their 64-bit hashes; sets and their order are written once and read by each of the joins.
+    Tokens are compared by their 64-bit hashes; sets are written once and read by what ``near_sets`` does with them.
+    Rows that tie in ``order`` count as one text; a null order, or a text without tokens, has no pair.
     """
-    sets = df.select(F.col(order).alias("doc"), F.explode(F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t))).alias("token"))
-    sets = staged(sets, "tokens")
-    ranks = sets.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sets.join(ranks, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ts"))
-    ranked = staged(ranked.select("doc", F.transform("ts", lambda x: x["token"]).alias("ts")).withColumn("size", F.size("ts")), "sets")
-    prefix = ranked.select("doc", "size", F.explode(F.slice("ts", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold) + 1)).alias("token"))
-    l, r = prefix.select(F.col("doc").alias("a"), F.col("size").alias("na"), "token"), prefix.select(F.col("doc").alias("b"), F.col("size").alias("nb"), "token")
-    alike = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    pairs = l.join(r, "token").filter(alike).select("a", "b").distinct()
-    one, two = ranked.select(F.col("doc").alias("a"), F.col("ts").alias("x")), ranked.select(F.col("doc").alias("b"), F.col("ts").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    out = pairs.join(one, "a").join(two, "b").select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard"))
-    return out.filter(F.col("jaccard") >= threshold)
+    kind = df.schema[order].dataType
+    if not isinstance(kind, IntegralType):  # ids of our own stand for what can't be one
+        names = staged(df.select(F.col(order).alias("_name")).filter("_name IS NOT NULL").distinct().withColumn("_id", F.monotonically_increasing_id()), "names")
+        found = jaccard_edges(df.join(names, F.col(order) == F.col("_name")).select(F.col("_id"), F.col(text).alias("_text")), threshold, "_text", "_id")
+        x, y = (names.select(F.col("_id").alias(s), F.col("_name").alias("_" + s)) for s in "ab")
+        return found.join(x, "a").join(y, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "jaccard")
+    sets = df.select(F.col(order).cast("long").alias("id"), F.sort_array(F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t))).alias("set"))
+    sets = staged(sets.filter("id IS NOT NULL AND size(set) > 0"), "sets")
+    tied = sets.groupBy("id").count().filter("count > 1").select("id")
+    if not tied.isEmpty():
+        one = sets.join(tied, "id", "left_semi").groupBy("id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("set")))).alias("set"))
+        sets = staged(sets.join(tied, "id", "left_anti").unionByName(one), "sets")
+    out = near_sets.near_pairs(sets, threshold)
+    return out.select(F.col("a").cast(kind), F.col("b").cast(kind), "jaccard")
 
 
 def band_buckets(df: DataFrame, threshold: float, text: str = "text", order: str = "seq") -> DataFrame:
