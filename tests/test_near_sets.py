@@ -56,3 +56,17 @@ def test_ids_that_tie_are_null_or_no_numbers(spark, kind):
     got = {(r.a, r.b): r.jaccard for r in dedup.jaccard_edges(df, RATE).collect()}
     one, two, three = (str(i) if kind == "string" else i for i in (1, 2, 3))
     assert got == {(one, two): 1.0, (one, three): 0.8, (two, three): 0.8}
+
+
+def test_greedy_exact_writes_sets_once(spark):
+    texts, sets = near_texts(240, seed=11)
+    before = staged_bytes(spark)
+    got = {r.seq for r in dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(2), RATE, "exact").collect()}
+    kept: list[int] = []
+    near = brute(sets)
+    for i in range(len(sets)):
+        if not any((a, i) in near for a in kept):
+            kept.append(i)
+    assert got == set(kept)
+    large = [n for n in staged_bytes(spark, before).values() if n > 20_000]
+    assert sum(large) < 1.3 * 8 * sum(map(len, sets))
