@@ -168,6 +168,16 @@ def contaminated(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
 
 
 def novel(new: DataFrame, existing: DataFrame, threshold: float = 0.8, text: str = "text", order: str = "seq") -> DataFrame:
-    """Extension: new rows that are near no existing row and no new row before them; existing rows come first."""
-    both = existing.select(order, text).withColumn("_new", F.lit(False)).unionByName(new.select(order, text).withColumn("_new", F.lit(True)))
-    return near_dedup(both, threshold, "exact", text, order).filter("_new").drop("_new")
+    """Extension: new rows that are near no existing row, whatever its place, and no new row kept before them.
+
+    ``order`` is a whole number below 2^62; the two frames may use the same ones.
+    """
+    key = lambda is_new: (F.col(order).cast("long") * 2 + is_new).alias("_key")
+    both = existing.select(key(0), F.col(text)).unionByName(new.select(key(1), F.col(text)))
+    edges = staged(jaccard_edges(both, threshold, text, "_key").select("a", "b"), "novel")
+    is_new = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    mixed = edges.filter(is_new("a") != is_new("b"))
+    known = staged(mixed.select(F.when(is_new("a"), F.col("a")).otherwise(F.col("b")).alias("_known")).distinct(), "known")
+    rest = edges.filter(is_new("a") & is_new("b")).join(known, F.col("a") == F.col("_known"), "left_anti").join(known, F.col("b") == F.col("_known"), "left_anti")
+    left = new.select(order, text, key(1)).join(known, F.col("_key") == F.col("_known"), "left_anti")
+    return greedy(left, rest, "_key").drop("_key")

@@ -58,6 +58,13 @@ def test_ids_that_tie_are_null_or_no_numbers(spark, kind):
     assert got == {(one, two): 1.0, (one, three): 0.8, (two, three): 0.8}
 
 
+def test_novel_is_near_no_existing_row(spark):
+    text = [" ".join(f"{x}{i}" for i in range(20)) for x in "abcd"]
+    new = spark.createDataFrame([(1, text[0]), (2, text[1]), (3, text[2]), (5, text[2] + " x"), (7, text[3])], "seq int, text string")
+    existing = spark.createDataFrame([(4, text[0] + " y"), (6, text[1]), (7, text[1] + " z")], "seq int, text string")
+    assert sorted(r.seq for r in dedup.novel(new, existing).collect()) == [3, 7]
+
+
 def test_greedy_exact_writes_sets_once(spark):
     texts, sets = near_texts(240, seed=11)
     before = staged_bytes(spark)
