@@ -246,6 +246,26 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(1, n)} | {1001: 1000}
 
 
+def test_components_of_few_edges_cost_few_tasks(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(-400, i) for i in range(1000, 1200)]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    want = {n: r for n, r in root.items() if n != r}
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    assert {r.node: r.root for r in components.components(frame).collect()} == want
+    spark.sparkContext.setJobGroup("few", "components of few edges")
+    assert components.components(frame).count() == len(want)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) <= 12  # two tables and two counts
+    monkeypatch.setattr(components, "WHOLE", 50)  # more edges than a task holds
+    assert {r.node: r.root for r in components.components(frame).collect()} == want
+
+
 # --- 4
 
 
