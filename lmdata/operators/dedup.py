@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegralType
 
 from lmdata.functions.text import strip
 from lmdata.operators import near_sets
-from lmdata.session import staged
+from lmdata.session import filter_blocks, staged
 
 PERMUTATIONS = 128
 
@@ -30,15 +30,15 @@ def bands(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]
 
 
 
-def keep_first(df: DataFrame, keys: list[Column], order: str = "seq") -> DataFrame:
+def keep_first(df: DataFrame, keys: list[Column], order: str = "seq", first: DataFrame | None = None) -> DataFrame:
     """The rows that come first for their keys.  Minima are combined before the shuffle, so a hot key costs one row a task.
 
-    Null keys are equal; rows that tie in ``order`` stay together; null orders come last.
+    Null keys are equal; rows that tie in ``order`` stay together; null orders come last.  ``first`` has the minima (_k0, ..., _first) if they are known.
     """
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     names = [f"_k{i}" for i in range(len(keys))]
     rows = df.select("*", *named)
-    first = rows.groupBy(*names).agg(F.min(order).alias("_first"))
+    first = rows.groupBy(*names).agg(F.min(order).alias("_first")) if first is None else first
     same = F.lit(True)
     for n in names:
         same = same & rows[n].eqNullSafe(first[n])
@@ -50,6 +50,35 @@ def exact_text(df: DataFrame, text: str = "text", order: str = "seq") -> DataFra
     return keep_first(df, [F.md5(F.lower(strip(F.col(text))))], order)
 
 
+def keep_first_in_place(df: DataFrame, keys: list[Column], order: str = "seq") -> DataFrame:
+    """The rows of ``keep_first``, moving few of the others' columns: for long texts, of which the larger part stays.
+
+    Keys and order are staged and compared alone.  A filter of bounded size marks the orders of the rows that go; rows it does not mark stay
+    where they are, and the marked ones, a few that stay among them, are looked up.
+    """
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    small = staged(df.select(F.col(order).alias("_order"), *named), "keys")
+    first = staged(small.groupBy(*names).agg(F.min("_order").alias("_first")), "firsts")
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}"))
+    stays = same & F.col("a._order").eqNullSafe(F.col("b._first"))
+    gone = small.alias("a").join(first.alias("b"), stays, "left_anti").select(F.xxhash64("_order").alias("h"))
+    bits, blocks = filter_blocks(staged(gone, "gone"))
+    at = F.xxhash64(order).bitwiseAND(F.lit(bits - 1))
+    rows = df.withColumns({"_at": at.bitwiseAND(F.lit((1 << 15) - 1)), "_block": F.shiftright(at, 15)}).join(F.broadcast(blocks), F.col("_block") == F.col("block"), "left")  # at most 4096 blocks of 4 kB
+    byte = F.ascii(F.decode(F.substring("m", F.shiftright("_at", 3).cast("int") + 1, 1), "ISO-8859-1"))
+    marked = F.coalesce(F.getbit(byte, F.col("_at").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    asked = rows.filter(marked).select(*df.columns)
+    return rows.filter(~marked).select(*df.columns).unionByName(keep_first(asked, keys, order, first))
+
+
+def exact_text_in_place(df: DataFrame, text: str = "text", order: str = "seq") -> DataFrame:
+    """The rows of ``exact_text``, where texts move only if they may go."""
+    return keep_first_in_place(df, [F.md5(F.lower(strip(F.col(text))))], order)
+
+
 def exact_pairs(df: DataFrame, order: str = "pair_id") -> DataFrame:
     """By prompt, chosen and rejected: one prompt with different answers is kept on purpose.  A null field equals only a null one."""
     return keep_first(df, [F.md5(c) for c in ("prompt", "chosen", "rejected")], order)

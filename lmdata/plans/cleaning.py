@@ -58,7 +58,7 @@ common AS (SELECT a.seq AS a, b.seq AS b, count(*) AS c FROM sets a JOIN sets b
 SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM common JOIN sizes x ON x.seq = a JOIN sizes y ON y.seq = b WHERE c / (x.n + y.n - c) >= 0.8""",
 )
 def d4_edges(spark, sf_dir):
-    docs = dedup.exact_text(clean.length_filter(view(spark, sf_dir, "v_stream")))
+    docs = dedup.exact_text_in_place(clean.length_filter(view(spark, sf_dir, "v_stream")))
     return dedup.jaccard_edges(docs, 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -76,7 +76,7 @@ kept AS (SELECT unnest(kept) AS seq FROM (SELECT kept FROM pass ORDER BY k DESC
 SELECT seq FROM docs WHERE seq NOT IN (SELECT seq FROM nodes) OR seq IN (SELECT seq FROM kept)""",
 )
 def d4_greedy(spark, sf_dir):
-    docs = dedup.exact_text(clean.length_filter(view(spark, sf_dir, "v_stream")))
+    docs = dedup.exact_text_in_place(clean.length_filter(view(spark, sf_dir, "v_stream")))
     return dedup.near_dedup(docs, 0.8, "exact").select("seq")
 
 

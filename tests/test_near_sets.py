@@ -2,10 +2,12 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from lmdata import session
 from lmdata.operators import dedup, near_sets
 
-RATE = 0.8
+RATE, DATA = 0.8, "/root/testdata/sf0.001"
 
 
 def near_texts(n, words=120, seed=3):
@@ -77,3 +79,30 @@ def test_greedy_exact_writes_sets_once(spark):
     assert got == set(kept)
     large = [n for n in staged_bytes(spark, before).values() if n > 20_000]
     assert sum(large) < 1.3 * 8 * sum(map(len, sets))
+
+
+def test_first_rows_in_place_are_the_same_and_move_few_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", " a", "A", "a", *(f"Word {rng.randrange(70)} " for _ in range(200))]
+    rows = [(rng.choice([None, i, i, i, 7]), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "seq long, text string").repartition(5)
+    for bits in (1 << 27, 1 << 3):  # a filter that is full, too
+        monkeypatch.setattr(session, "MOST_BITS", bits)
+        for order in ("seq", "name"):
+            asked = df.withColumn("name", F.col("seq").cast("string"))
+            want, got = dedup.exact_text(asked, order=order), dedup.exact_text_in_place(asked, order=order)
+            key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
+            assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_texts_of_the_exact_queries_stay_where_they_are(spark, monkeypatch):
+    import __spark_entry__
+
+    seen = []
+    monkeypatch.setattr(dedup, "jaccard_edges", lambda df, *a: seen.append(df) or spark.createDataFrame([], "a long, b long, jaccard double"))
+    for name in ("d4_jaccard_edges", "d4_greedy_exact"):
+        __spark_entry__.queries()[name](spark, DATA)
+    for df in seen:  # one branch of the union has texts that no exchange moves
+        plan = df._jdf.queryExecution().optimizedPlan()
+        assert plan.nodeName() == "Union" and "LeftSemi" not in plan.children().apply(0).toString()
+    assert len(seen) == 2
